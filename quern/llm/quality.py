@@ -10,10 +10,10 @@ input keep their names; a column that is called like one of the ledger's is repl
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +25,8 @@ WINDOW = 8
 #: Measurements, in the order of the ledger's columns.
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_letters", "n_capitals")
 
-_letters = re.compile(r"[^\W\d_]+")
+_letters = regex.compile(r"\p{L}+")
+_capitals = regex.compile(r"\p{Lu}+")
 
 
 @dataclass(frozen=True)
@@ -38,7 +39,7 @@ class Rule:
 RULES = (
     Rule("few_words", "n_words < 20"),
     Rule("repeated_words", "100 * n_repeat_words > 30 * n_words"),
-    Rule("symbols", "100 * n_symbols > 25 * n_words"),
+    Rule("symbols", "100 * n_symbols > 15 * n_words"),
     Rule("capitals", "n_letters >= 20 and 100 * n_capitals > 70 * n_letters"),
     Rule("short_words", "10 * word_chars < 15 * n_words"),
     Rule("long_words", "word_chars > 40 * n_words"),
@@ -89,7 +90,6 @@ def measure(text: str | None) -> tuple[int, ...]:
     numbers: dict[bytes, int] = {}
     ids = np.fromiter((numbers.setdefault(w, len(numbers)) for w in found), np.int64, len(found))
     lines = [x for x in text.split("\n") if x.strip(BLANKS)]
-    letters = "".join(_letters.findall(text))
     return (
         len(found),
         len(text) - sum(map(text.count, BLANKS)),
@@ -97,8 +97,8 @@ def measure(text: str | None) -> tuple[int, ...]:
         len(lines),
         len(lines) - len(set(lines)),
         repeated(ids) if len(numbers) < len(found) else 0,
-        len(letters),
-        sum(1 for _ in filter(str.isupper, letters)),
+        sum(map(len, _letters.findall(text))),
+        sum(map(len, _capitals.findall(text))),
     )
 
 
