@@ -4,16 +4,25 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import lines, mixing, quality, simhash
+from quern.llm import bpe, lines, mixing, quality, simhash
 from quern.llm.oracle import ORACLE_SQL
 from quern.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_byte_bpe(spark: SparkSession, sf_dir: str, path: str | None = None, pattern: str | None = None) -> DataFrame:
+    """Digests of the ids of every document and of the bytes that they decode to; path and pattern are of the public ranks."""
+    path, pattern = path or public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern or public_tokenizers.PATTERN
+    tokens = bpe.encode(table(spark, sf_dir, "documents"), path, pattern)
+    both = bpe.decode(tokens, path, carry=("doc_id", "n_tokens", "ids"))
+    return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), "valid")
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ledger of all documents, with the verdict of the base policy and of the newest one."""
     rows = quality.ledger(table(spark, sf_dir, "documents"))
@@ -38,7 +47,7 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = (op3_quality_rules, op5_simhash_near_dedup, op7_source_mixing, op8_line_dedup)
+QUERIES = (op1_byte_bpe, op3_quality_rules, op5_simhash_near_dedup, op7_source_mixing, op8_line_dedup)
 
 
 def queries() -> dict[str, Query]:
