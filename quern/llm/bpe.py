@@ -14,6 +14,7 @@ from __future__ import annotations
 import base64
 from array import array
 from itertools import pairwise
+from uuid import uuid4
 
 import numpy as np
 import regex
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from quern.llm.text import by_rows
 
 #: Most states of the transducer, most remembered chunks of text, and the longest chunk that is remembered.
-MOST_STATES, MOST_CHUNKS, LONGEST_CHUNK = 200_000, 400_000, 64
+MOST_STATES, MOST_CHUNKS, LONGEST_CHUNK = 250_000, 200_000, 32
 NEVER = 1 << 40
 #: Marks that end a word and are pieces of their own.
 ENDS = {".", ","}
@@ -51,32 +52,81 @@ def merged(piece: bytes, ranks: dict[bytes, int]) -> list[bytes]:
     return parts
 
 
+def splits(ranks: dict[bytes, int]) -> dict[int, tuple[int, int] | None]:
+    """For every token that the merges make: the two tokens that its last merge joins, None for a byte."""
+    out: dict[int, tuple[int, int] | None] = {}
+    for word, rank in ranks.items():
+        if len(word) == 1:
+            out[rank] = None
+            continue
+        ends = range(len(word) + 1)
+        within = {w: ranks[w] for i in ends for j in ends[i + 1 :] if (w := word[i:j]) in ranks and w != word}
+        parts = merged(word, within)
+        if len(parts) == 2:
+            out[rank] = ranks[parts[0]], ranks[parts[1]]
+    return out
+
+
 class Transducer:
     """Encodes one piece of text, bytes in and ranks out.
 
     A hypothesis is the token before, a place in the trie, and the tokens held back; a state is a tuple of hypotheses.
     """
 
-    def __init__(self, ranks: dict[bytes, int], most_states: int = MOST_STATES):
+    def __init__(self, ranks: dict[bytes, int], made: dict[int, tuple[int, int] | None] | None = None, most_states: int = MOST_STATES):
         self.ranks, self.most = ranks, most_states
+        self.splits = splits(ranks) if made is None else made
         self.spelling = {v: k for k, v in ranks.items()}
+        self.edges: tuple[dict[int, list[int]], dict[int, list[int]]] = ({}, {})
         self.child: dict[int, int] = {}
         self.token: dict[int, int] = {}  # of a place in the trie
-        for word, rank in ranks.items():
+        above = [0]
+        for rank in self.splits:
             at = 0
-            for b in word:
-                at = self.child.setdefault(at << 8 | b, len(self.child) + 1)
+            for b in self.spelling[rank]:
+                to = self.child.setdefault(at << 8 | b, len(above))
+                if to == len(above):
+                    above.append(at)
+                at = to
             self.token[at] = rank
-        self.splits: dict[int, tuple[int, int] | None] = {}
-        self.edges: tuple[dict[int, list[int]], dict[int, list[int]]] = ({}, {})
+        self.front = self._fronts(above)
+        self.emitted: dict[tuple[int, ...], tuple[int, ...]] = {}
         self.fits: dict[int, bool] = {}
+        self.alive: dict[int, bool] = {}
         self.reset()
 
+    def _fronts(self, above: list[int]) -> list[tuple[list[int], int]]:
+        """For each place in the trie, what its tokens have in common at the left end: the first tokens of their merges, and
+        the lowest rank that any of them merges into next. Places are numbered from the root, so leaves come first here."""
+        out: list[tuple[list[int], int]] = [([], NEVER)] * len(above)
+        seen = [False] * len(above)
+
+        def join(at: int, edge: list[int], then: int) -> None:
+            if not seen[at]:
+                out[at], seen[at] = (edge, then), True
+                return
+            known, low = out[at]
+            n = 0
+            for x, y in zip(known, edge, strict=False):
+                if x != y:
+                    break
+                n += 1
+            out[at] = known[:n], min(known[n] if n < len(known) else low, edge[n] if n < len(edge) else then)
+
+        for at in range(len(above) - 1, 0, -1):
+            if at in self.token:
+                join(at, self._edge(self.token[at], 0), NEVER)
+            if above[at]:
+                join(above[at], *out[at])
+        return out
+
     def reset(self) -> None:
         self.sets: list[tuple] = []
         self.number: dict[tuple, int] = {}
-        self.step: dict[int, tuple[int, tuple[int, ...]]] = {}
+        self.step: dict[int, int] = {}  # twice the next state, and one more if tokens are emitted
+        self.emit: dict[int, tuple[int, ...]] = {}
         self.last: dict[int, tuple[int, ...]] = {}
+        self.emitted.clear()
         self.start = self._state(((-1, 0, ()),))
 
     def _state(self, hypotheses: tuple) -> int:
@@ -85,22 +135,11 @@ class Transducer:
             self.sets.append(hypotheses)
         return n
 
-    def _split(self, token: int) -> tuple[int, int] | None:
-        """The two tokens whose merge makes this one; None for a byte, or if the merges never make it."""
-        if token not in self.splits:
-            parts = merged(self.spelling[token], {k: v for k, v in self._within(self.spelling[token]) if v != token})
-            self.splits[token] = (self.ranks[parts[0]], self.ranks[parts[1]]) if len(parts) == 2 else None
-        return self.splits[token]
-
-    def _within(self, word: bytes):
-        ends = range(len(word) + 1)
-        return ((w, self.ranks[w]) for i in ends for j in ends[i + 1 :] if (w := word[i:j]) in self.ranks)
-
     def _edge(self, token: int, side: int) -> list[int]:
         """The tokens at the left (0) or right (1) end of token, from its byte up to itself, in the order of their merges."""
         known = self.edges[side].get(token)
         if known is None:
-            split = self._split(token)
+            split = self.splits[token]
             known = self.edges[side][token] = [*(self._edge(split[side], side) if split else ()), token]
         return known
 
@@ -122,27 +161,50 @@ class Transducer:
             i, j = (i + 1, j) if above <= beyond else (i, j + 1)
 
     def _follows(self, before: int, token: int) -> bool:
-        """Whether the merges leave the two tokens apart, or make the token at the start of a piece."""
-        if len(self.fits) > 2 * self.most:
+        """Whether the merges leave the two tokens apart, or the token stands at the start of a piece."""
+        if len(self.fits) > self.most:
             self.fits.clear()
-        alone = len(self.spelling[token]) == 1 or self._split(token) is not None
-        known = self.fits[before << 32 | token] = alone and (before < 0 or not self._meet(before, token))
+        known = self.fits[before << 32 | token] = before < 0 or not self._meet(before, token)
         return known
 
+    def _lives(self, before: int, place: int) -> bool:
+        """Whether the token before may be followed by a token that goes through the place; false only if none can be.
+
+        The walk of _meet along what these tokens have in common.
+        """
+        if len(self.alive) > 2 * self.most:
+            self.alive.clear()
+        key = before << 32 | place
+        left, (right, then), i, j = self._edge(before, 1), self.front[place], 0, 0
+        while True:
+            above = left[i + 1] if i + 1 < len(left) else NEVER
+            beyond = right[j + 1] if j + 1 < len(right) else then
+            both = self.ranks.get(self.spelling[left[i]] + self.spelling[right[j]])
+            if both is not None and both < above and both <= beyond:
+                self.alive[key] = False
+                return False
+            if above <= beyond and above != NEVER:
+                i += 1
+            elif above > beyond and j + 1 < len(right):
+                j += 1
+            else:
+                self.alive[key] = True
+                return True
+
     def _advance(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
         """Makes a step: each hypothesis goes on with its token, or ends it before this byte, or both, or neither."""
-        child, token, fits = self.child.get, self.token.get, self.fits.get
+        child, token, fits, alive = self.child.get, self.token.get, self.fits.get, self.alive.get
         again = child(byte)
         new, shared = [], 1 << 30
         for before, place, held in self.sets[state]:
             to = child(place << 8 | byte)
-            if to is not None:
+            if to is not None and (before < 0 or (self._lives(before, to) if (known := alive(before << 32 | to)) is None else known)):
                 new.append((before, to, held))
                 shared = min(shared, len(held))
             done = token(place)
             if done is not None:
                 known = fits(before << 32 | done)
-                if self._follows(before, done) if known is None else known:
+                if (self._follows(before, done) if known is None else known) and (self._lives(done, again) if (known := alive(done << 32 | again)) is None else known):
                     new.append((done, again, (*held, done)))
                     shared = min(shared, len(held) + 1)
         agreed, first = 0, new[0][2]
@@ -150,11 +212,15 @@ class Transducer:
             agreed += 1
         if agreed:
             new = [(b, p, h[agreed:]) for b, p, h in new]
-        if len(self.sets) >= self.most:
+        if full := len(self.sets) >= self.most:
             self.reset()
-            return self._state(tuple(new)), first[:agreed]
-        out = self.step[state << 8 | byte] = self._state(tuple(new)), first[:agreed]
-        return out
+        to, out = self._state(tuple(new)), first[:agreed]
+        if not full:
+            key = state << 8 | byte
+            self.step[key] = to << 1 | bool(out)
+            if out:
+                self.emit[key] = self.emitted.setdefault(out, out)
+        return to, out
 
     def _end(self, state: int) -> tuple[int, ...]:
         for before, place, held in self.sets[state]:
@@ -167,15 +233,18 @@ class Transducer:
     def encode(self, piece: bytes) -> list[int]:
         if not piece:
             return []
-        state, out, step = self.start, [], self.step
+        state, out, step, emit = self.start, [], self.step, self.emit
         for byte in piece:
-            found = step.get(state << 8 | byte)
+            key = state << 8 | byte
+            found = step.get(key)
             if found is None:
-                found = self._advance(state, byte)
-                step = self.step
-            state = found[0]
-            if found[1]:
-                out += found[1]
+                state, more = self._advance(state, byte)
+                step, emit = self.step, self.emit
+                out += more
+            else:
+                state = found >> 1
+                if found & 1:
+                    out += emit[key]
         out += self.last.get(state) or self._end(state)
         return out
 
@@ -204,8 +273,8 @@ class Chunks(dict):
 class Encoder:
     """Encodes whole texts: the pattern cuts them into pieces, the transducer encodes each piece by itself."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.ranks, self.cut, self.machine = ranks, regex.compile(pattern).findall, Transducer(ranks)
+    def __init__(self, ranks: dict[bytes, int], pattern: str, made: dict[int, tuple[int, int] | None] | None = None):
+        self.ranks, self.cut, self.machine = ranks, regex.compile(pattern).findall, Transducer(ranks, made)
         self.unclear = regex.compile(r" (?:[\s\x1c-\x1f\x85]|$)").search
         self.first, self.spaced = Chunks(self, ""), Chunks(self, " ")
         self.ends = {c: self.piece(c.encode()) for c in ENDS}
@@ -306,32 +375,35 @@ class Decoder:
         return b"".join(parts), self.valid
 
 
-_machines: dict[tuple[str, str, int], object] = {}
+_machines: dict[type, tuple[str, object]] = {}
 
 
-def _machine(kind: type, key: str, ranks, *more):
-    """One machine for each Python worker and vocabulary; machines only remember what they would compute again."""
-    name = (kind.__name__, key, hash(more))
-    if name not in _machines:
-        _machines.clear() if len(_machines) > 8 else None
-        _machines[name] = kind(ranks.value, *more)
-    return _machines[name]
+def _machine(kind: type, sent, name: str, *more):
+    """The machine of this Python worker for a broadcast vocabulary, made once; machines only remember what they would
+    compute again."""
+    if kind not in _machines or _machines[kind][0] != name:
+        ranks, made = sent.value
+        _machines[kind] = name, kind(ranks, *more, *([made] if kind is Encoder else []))
+    return _machines[kind][1]
 
 
-def _sent(df: DataFrame, path: str):
-    """The vocabulary, read on the driver and broadcast: a file of fixed size, so its bound is proven before it is sent."""
+def _sent(df: DataFrame, path: str, compiled: bool):
+    """The vocabulary, read on the driver, with its compiled merges where they are needed, as a broadcast.
+
+    It is a file of fixed size; its bound is proven before it is sent.
+    """
     ranks = read_ranks(path)
     if len(ranks) > 1_000_000 or max(map(len, ranks)) > 1024:
         raise ValueError(f"{path} is too large to be broadcast")
-    return df.sparkSession.sparkContext.broadcast(ranks)
+    return df.sparkSession.sparkContext.broadcast((ranks, splits(ranks) if compiled else None))
 
 
 def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """key, the columns in carry, `n_tokens` and `ids` (little-endian unsigned 32-bit integers) of every row."""
-    ranks = _sent(docs, path)
+    sent, name = _sent(docs, path, True), uuid4().hex
 
     def work(texts: list[str | None]) -> list[list]:
-        machine = _machine(Encoder, path, ranks, pattern)
+        machine = _machine(Encoder, sent, name, pattern)
         packed = [machine.encode(t) for t in texts]
         return [[len(p) // 4 for p in packed], packed]
 
@@ -340,10 +412,23 @@ def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
 
 def decode(tokens: DataFrame, path: str, ids: str = "ids", carry: tuple[str, ...] = ()) -> DataFrame:
     """The columns in carry, `decoded` (bytes) and `valid` (whether they are UTF-8) of every row of packed ids."""
-    ranks = _sent(tokens, path)
+    sent, name = _sent(tokens, path, False), uuid4().hex
 
     def work(packed: list[bytes | None]) -> list[list]:
-        machine = _machine(Decoder, path, ranks)
+        machine = _machine(Decoder, sent, name)
         return list(map(list, zip(*(machine.decode(p or b"") for p in packed), strict=True)))
 
     return by_rows(tokens, [ids], list(carry), work, "decoded binary, valid boolean")
+
+
+def round_trip(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """What encode() makes of every row and what decode() makes of that, in one pass of one Python worker."""
+    sent, name = _sent(docs, path, True), uuid4().hex
+
+    def work(texts: list[str | None]) -> list[list]:
+        encoder, decoder = _machine(Encoder, sent, name, pattern), _machine(Decoder, sent, name)
+        packed = [encoder.encode(t) for t in texts]
+        decoded = [decoder.decode(p) for p in packed]
+        return [[len(p) // 4 for p in packed], packed, [d for d, _ in decoded], [v for _, v in decoded]]
+
+    return by_rows(docs, [text], [key, *carry], work, "n_tokens long, ids binary, decoded binary, valid boolean")

@@ -18,8 +18,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def op1_byte_bpe(spark: SparkSession, sf_dir: str, path: str | None = None, pattern: str | None = None) -> DataFrame:
     """Digests of the ids of every document and of the bytes that they decode to; path and pattern are of the public ranks."""
     path, pattern = path or public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern or public_tokenizers.PATTERN
-    tokens = bpe.encode(table(spark, sf_dir, "documents"), path, pattern)
-    both = bpe.decode(tokens, path, carry=("doc_id", "n_tokens", "ids"))
+    both = bpe.round_trip(table(spark, sf_dir, "documents"), path, pattern)
     return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), "valid")
 
 
