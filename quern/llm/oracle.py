@@ -41,6 +41,17 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fai
 from b
 """
 
+OP4 = """
+with v as (
+  select vec_id, [floor(64 * x::double) for x in embedding] as e from embeddings
+  where vec_id is not null and len(embedding) > 0 and len([x for x in embedding if x is null or not isfinite(x)]) = 0),
+s as (
+  select q.vec_id as query_id, c.vec_id, list_dot_product(q.e, c.e)::bigint as score
+  from v q join v c on q.vec_id <> c.vec_id and len(q.e) = len(c.e) where q.vec_id % 20 = 0),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from s)
+select query_id, rank, vec_id, score from r where rank <= 20
+"""
+
 OP7 = rf"""
 with d as (
   select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::bigint as size from documents),
@@ -92,4 +103,4 @@ select d.doc_id, case when text is null then null else coalesce(kept, '') end as
 from d left join left_ on d.doc_id = left_.doc_id
 """
 
-ORACLE_SQL = {"op3_quality_rules": OP3, "op7_source_mixing": OP7, "op8_line_dedup": OP8}
+ORACLE_SQL = {"op3_quality_rules": OP3, "op4_exact_top_k": OP4, "op7_source_mixing": OP7, "op8_line_dedup": OP8}
