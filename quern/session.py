@@ -45,14 +45,20 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a reliable checkpoint in the folder that the cluster names in spark.checkpoint.dir.
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder of this application: the one that the cluster names in spark.checkpoint.dir.
 
-    Only where that setting is absent (tests, a laptop) is a temporary folder used.
+    Only where neither that setting nor the application names one (tests, a laptop) is a temporary folder used.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="quern-checkpoint-"))
+    known = sc._jsc.sc().getCheckpointDir()
+    if known.isEmpty():
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quern-checkpoint-"))
+        known = sc._jsc.sc().getCheckpointDir()
+    return known.get()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cuts the lineage with a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
