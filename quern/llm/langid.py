@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.text import by_rows
+from quern.session import ship
 
 UNKNOWN = "und"
 BITS, SIZE = 13, 1 << 13
@@ -94,6 +95,7 @@ def cluster(rows: np.ndarray, k: int) -> np.ndarray:
 
 def _frequencies(docs: DataFrame, text: str) -> tuple[np.ndarray, int]:
     """Documents that have each n-gram, over all of docs; at most SIZE + 1 rows reach the driver."""
+    ship(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(SIZE, np.int64), 0

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.text import by_rows
-from quern.session import checkpointed
+from quern.session import checkpointed, ship
 
 ORDER = 5
 PAD = b"\n" * (ORDER - 1)
@@ -59,6 +59,7 @@ def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 
 def counted(docs: DataFrame, text: str) -> DataFrame:
     """(gram, n) over all texts of docs."""
+    ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts = np.empty(0, np.int64), np.empty(0, np.int64)

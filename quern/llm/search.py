@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.session import ship
+
 #: Dimensions of a step.
 STEP = 8
 LARGEST = 1 << 26
@@ -92,6 +94,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int, scale: int, key: str = "
             parts = best(_matrix(queries), queries.column("id").to_numpy(), _matrix(candidates), candidates.column("id").to_numpy(), k)
         return pa.table([pa.array(p.astype(np.int64), pa.int64()) for p in parts], names=["query_id", "vec_id", "score"])
 
+    ship(vectors.sparkSession)
     keys = ("dims", "rows", "queries")
     local = asked.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInArrow(work, "query_id long, vec_id long, score long")
     ranked = local.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")))

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from quern.llm.components import components
 from quern.llm.text import by_rows, positional
-from quern.session import checkpointed
+from quern.session import checkpointed, ship
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
 SEGMENTS = ((0, 22), (22, 43), (43, 64))
@@ -98,6 +98,7 @@ def _forest(table: pa.Table) -> pa.Table:
 
 def links(nodes: DataFrame) -> DataFrame:
     """Verified links (u, v) between distinct fingerprints, enough to connect each component; links may repeat."""
+    ship(nodes.sparkSession)
     bucket = Window.partitionBy("bit", "part").orderBy("fp")
     sized = variants(nodes).select("*", F.count("*").over(bucket.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("n"), (F.row_number().over(bucket) - 1).alias("place")).filter("n > 1")
     sized = checkpointed(sized)

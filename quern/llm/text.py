@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType
 
+from quern.session import ship
+
 #: Words are runs of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 BLANKS = " \t\n\x0b\x0c\r"
@@ -34,6 +36,7 @@ def by_rows(df: DataFrame, inputs: list[str], kept: list[str], work: Callable[..
     work gets the inputs as one list each. Kept columns pass through as Arrow buffers. mapInArrow, so there is no shuffle, no
     state between rows, and a lost executor only repeats its own tasks.
     """
+    ship(df.sparkSession)
     new = StructType.fromDDL(made)
     target = list(to_arrow_schema(new))
     both = list(dict.fromkeys([*inputs, *kept]))
