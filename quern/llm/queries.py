@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import bpe, langid, lines, mixing, perplexity, quality, search, simhash, toxicity
+from quern.llm import bpe, langid, licences, lines, mixing, perplexity, quality, search, simhash, toxicity
 from quern.llm.oracle import ORACLE_SQL
 from quern.session import table
 
@@ -76,7 +76,12 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
-QUERIES = (op1_byte_bpe, op2_language_id, op3_quality_rules, op4_exact_top_k, op5_simhash_near_dedup, op6_kneser_ney_quality, op7_source_mixing, op8_line_dedup, op9_toxicity)
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every block of lines that names a license."""
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
+QUERIES = (op1_byte_bpe, op2_language_id, op3_quality_rules, op4_exact_top_k, op5_simhash_near_dedup, op6_kneser_ney_quality, op7_source_mixing, op8_line_dedup, op9_toxicity, op10_license_scan)
 
 
 def queries() -> dict[str, Query]:
