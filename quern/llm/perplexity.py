@@ -33,7 +33,9 @@ from quern.session import checkpointed, ship
 ORDER = 5
 PAD = b"\n" * (ORDER - 1)
 #: Rows of the model that are broadcast at once, and distinct 5-grams that a counting task holds before it emits them.
-SHARD, HELD = 4_000_000, 1_000_000
+SHARD, HELD = 1_500_000, 1_000_000
+#: Trusted keys up to which they, and not the texts, are sent to find the trusted texts.
+FEW_KEYS = 500_000
 QUANTILE, SLACK, LEAST = 0.995, 0.5, 50
 #: Bytes with the mean of trusted text that are added to every document's mean.
 SMOOTHING = 100
@@ -89,34 +91,33 @@ def _discounts(counts: DataFrame) -> list[float]:
 
 
 def model(docs: DataFrame, text: str) -> DataFrame:
-    """(length, gram, p, back): the probability of the last byte of each seen n-gram after its others, for length 1 to 5, and
-    `back`, the weight of the shorter context after it where it is itself a context."""
-    top = checkpointed(counted(docs, text))
-    orders = {ORDER: top}
+    """(length, back, gram, value): the probability of the last byte of each seen n-gram after its others, for length 1 to 5,
+    and, where back is true, the weight of the shorter context after a context of that length."""
+    counts = checkpointed(counted(docs, text))
+    orders = {ORDER: counts}
     for k in range(ORDER - 1, 0, -1):
         low = F.col("gram").bitwiseAND(F.lit((1 << 8 * k) - 1))
-        orders[k] = orders[k + 1].select(low.alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
+        orders[k] = checkpointed(orders[k + 1].select(low.alias("gram")).groupBy("gram").agg(F.count("*").alias("n")))
     known: DataFrame | None = None
     tables = []
     for k in range(1, ORDER + 1):
-        counts = checkpointed(orders[k]) if k < ORDER else top
-        d1, d2, d3 = _discounts(counts)
+        d1, d2, d3 = _discounts(orders[k])
         cut = F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3)
-        rows = counts.withColumn("context", F.shiftright("gram", 8)).withColumn("cut", cut)
-        sums = rows.groupBy("context").agg(F.sum("n").alias("total"), F.sum("cut").alias("freed")).select("context", "total", (F.col("freed") / F.col("total")).alias("back"))
-        rows = rows.join(sums, "context").select("gram", ((F.col("n") - F.col("cut")) / F.col("total")).alias("own"), "back")
+        rows = orders[k].withColumn("context", F.shiftright("gram", 8)).withColumn("cut", cut)
+        sums = rows.groupBy("context").agg(F.sum("n").alias("total"), F.sum("cut").alias("freed")).select("context", "total", (F.col("freed") / F.col("total")).alias("weight"))
+        rows = rows.join(sums, "context").select("gram", ((F.col("n") - F.col("cut")) / F.col("total")).alias("own"), "weight")
         if known is None:
-            done = rows.select("gram", (F.col("own") + F.col("back") / 256).alias("p"))
+            done = rows.select("gram", (F.col("own") + F.col("weight") / 256).alias("p"))
         else:
             short = known.select(F.col("gram").alias("suffix"), F.col("p").alias("shorter"))
-            done = rows.withColumn("suffix", F.col("gram").bitwiseAND(F.lit((1 << 8 * (k - 1)) - 1))).join(short, "suffix").select("gram", (F.col("own") + F.col("back") * F.col("shorter")).alias("p"))
+            done = rows.withColumn("suffix", F.col("gram").bitwiseAND(F.lit((1 << 8 * (k - 1)) - 1))).join(short, "suffix").select("gram", (F.col("own") + F.col("weight") * F.col("shorter")).alias("p"))
         known = checkpointed(done)
-        tables.append(known.select(F.lit(k).alias("length"), "gram", "p", F.lit(None).cast("double").alias("back")))
-        tables.append(sums.select(F.lit(k - 1).alias("length"), F.col("context").alias("gram"), F.lit(None).cast("double").alias("p"), "back"))
+        tables.append(known.select(F.lit(k).alias("length"), F.lit(False).alias("back"), "gram", F.col("p").alias("value")))
+        tables.append(sums.select(F.lit(k - 1).alias("length"), F.lit(True).alias("back"), F.col("context").alias("gram"), F.col("weight").alias("value")))
     out = tables[0]
     for t in tables[1:]:
         out = out.union(t)
-    return checkpointed(out)
+    return out
 
 
 class Table:
@@ -153,9 +154,9 @@ class Table:
 class Shard:
     """The rows of the model for contexts that end in some pairs of bytes; probabilities of 5-grams by backing off."""
 
-    def __init__(self, rows: dict[tuple[int, str], tuple[np.ndarray, np.ndarray]]):
-        self.p = {k: Table(*rows[k, "p"]) for k in range(1, ORDER + 1)}
-        self.back = {k: Table(*rows[k, "back"]) for k in range(ORDER)}
+    def __init__(self, rows: dict[tuple[int, bool], tuple[np.ndarray, np.ndarray]]):
+        self.p = {k: Table(*rows[k, False]) for k in range(1, ORDER + 1)}
+        self.back = {k: Table(*rows[k, True]) for k in range(ORDER)}
 
     def logs(self, g: np.ndarray) -> np.ndarray:
         p = np.full(len(g), np.nan)
@@ -177,27 +178,27 @@ class Shard:
 _shards: dict[str, Shard] = {}
 
 
-def _shard_of(gram: Column, length: Column, what: str, shards: int) -> Column:
-    """The shard of a row, by the last two bytes of its context; null for rows that all shards have."""
-    pair = (F.shiftright(gram, 8) if what == "p" else gram).bitwiseAND(F.lit(0xFFFF))
-    return F.when(length >= (3 if what == "p" else 2), F.pmod(F.xxhash64(pair), F.lit(shards)))
+def _shard_of(shards: int) -> Column:
+    """The shard of a row of the model, by the last two bytes of its context; null for rows that all shards have."""
+    pair = F.when(F.col("back"), F.col("gram")).otherwise(F.shiftright("gram", 8)).bitwiseAND(F.lit(0xFFFF))
+    return F.when(F.col("length") >= F.when(F.col("back"), 2).otherwise(3), F.pmod(F.xxhash64(pair), F.lit(shards)))
+
+
+def _collected(part: DataFrame) -> dict[tuple[int, bool], tuple[np.ndarray, np.ndarray]]:
+    """Grams and values of a shard by length and kind."""
+    got = part.select("length", "back", "gram", "value").toArrow()
+    length, back, gram, value = (got.column(i).to_numpy() for i in range(4))
+    return {(k, b): (gram[own], value[own].astype(np.float32)) for k in range(ORDER + 1) for b in (False, True) if (own := (length == k) & (back == b)) is not None}
 
 
 def sums(docs: DataFrame, known: DataFrame, key: str, text: str, carry: tuple[str, ...] = (), most: int = SHARD) -> DataFrame:
     """key, the columns in carry, `n_bytes` and `log`, the sum of the logarithms, of every row."""
     shards = max(1, -(-known.count() // most))
-    kind = F.when(F.col("p").isNotNull(), _shard_of(F.col("gram"), F.col("length"), "p", shards)).otherwise(_shard_of(F.col("gram"), F.col("length"), "back", shards))
-    placed = known.withColumn("shard", kind)
-    pairs = docs.sparkSession.range(1 << 16).select("id", F.pmod(F.xxhash64("id"), F.lit(shards)).alias("shard")).toPandas().sort_values("id")["shard"].to_numpy()
+    placed = known.withColumn("shard", _shard_of(shards))
+    pairs = np.array([r[0] for r in docs.sparkSession.range(1 << 16).orderBy("id").select(F.pmod(F.xxhash64("id"), F.lit(shards))).collect()]) if shards > 1 else None
     passes = []
     for s in range(shards):
-        part = placed.filter(F.col("shard").isNull() | (F.col("shard") == s)).select("length", "gram", "p", "back").toPandas()
-        rows = {}
-        for k in range(ORDER + 1):
-            for what in ("p", "back"):
-                own = part[(part["length"] == k) & part[what].notna()]
-                rows[k, what] = own["gram"].to_numpy(np.int64), own[what].to_numpy(np.float64)
-        sent = docs.sparkSession.sparkContext.broadcast(rows)
+        sent = docs.sparkSession.sparkContext.broadcast(_collected(placed.filter(F.col("shard").isNull() | (F.col("shard") == s))))
         mine = None if shards == 1 else pairs == s
 
         def work(texts: list[str | None], sent=sent, mine=mine, name=uuid4().hex) -> list[list]:
@@ -239,7 +240,9 @@ def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     trusted = labels.filter(F.col(quality) == 1).select(F.col(key).alias("key")).filter("key is not null").distinct()
     fold = F.crc32(F.col("key").cast("string")) % 5
     named = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang"), F.xxhash64(text).alias("version"))
-    known = model(named.select("key", "text").join(trusted.filter(fold != 0), "key", "left_semi"), "text")
+    teachers = checkpointed(trusted.filter(fold != 0))
+    teachers = F.broadcast(teachers) if teachers.count() <= FEW_KEYS else teachers
+    known = model(named.select("key", "text").join(teachers, "key", "left_semi"), "text")
     scored = checkpointed(sums(named, known, "key", "text", ("lang", "version"), most))
     marks = trusted.filter(fold == 0).withColumn("judge", F.lit(True))
     mean = -F.col("log") / F.col("n_bytes")
