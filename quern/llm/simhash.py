@@ -114,18 +114,19 @@ def links(nodes: DataFrame) -> DataFrame:
 
 
 def near_duplicates(rows: DataFrame, key: str) -> DataFrame:
-    """rows has a key and `fp`; adds `component`, the smallest key that links reach, the own one included."""
+    """rows has a key and `fp`; adds `root`, which names the component, and `component`, the smallest key that links reach, the
+    own one included. Where keys repeat, components may have the same smallest key, but never the same root."""
     nodes = checkpointed(rows.groupBy("fp").agg(F.min(key).alias("least")))
     roots = components(links(nodes.select("fp")))
     rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     rooted = checkpointed(rooted)
     least = rooted.groupBy("root").agg(F.min("least").alias("component"))
-    return rows.join(rooted.join(least, "root").select("fp", "component"), "fp")
+    return rows.join(rooted.join(least, "root").select("fp", "root", "component"), "fp")
 
 
 def clusters(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, `fp` and `component` of every document."""
-    return near_duplicates(checkpointed(fingerprints(docs, key, text)), key)
+    return near_duplicates(checkpointed(fingerprints(docs, key, text)), key).select(key, "fp", "component")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -134,7 +135,7 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     k, t = (f"__{docs.columns.index(c)}" for c in (key, text))
     rows = checkpointed(fingerprints(plain.withColumn("version", F.xxhash64(t)), k, t, ("version",)))
     known = near_duplicates(rows, k)
-    best = known.groupBy("component").agg(F.min(F.struct(F.col(k).isNull(), F.col(k).alias("key"), F.col("version").alias("version"))).alias("best")).select("best.key", "best.version")
+    best = known.groupBy("root").agg(F.min(F.struct(F.col(k).isNull(), F.col(k).alias("key"), F.col("version").alias("version"))).alias("best")).select("best.key", "best.version")
     met = plain.withColumn("version", F.xxhash64(t)).join(best, F.col(k).eqNullSafe(best["key"]) & (F.xxhash64(t) == best["version"])).select(*plain.columns, best["version"])
     once = met.withColumn("turn", F.row_number().over(Window.partitionBy(k, "version").orderBy(k))).filter("turn = 1")
     return restored(once)
