@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.operators.index import Index
+from quern.session import checkpointed
 
 #: Features of a term, in the order of the output.
 TERM_FEATURES = (
@@ -57,8 +58,10 @@ def _blocks(index: Index, base: DataFrame) -> DataFrame:
 
 def term_features(index: Index, query_terms: DataFrame, compat: str = "score") -> DataFrame:
     """(qid, term, term_count, query_topk_score and the features of ALL)."""
-    base = _base(index, query_terms)
-    blocks = _blocks(index, base)
+    index = index.only(query_terms)
+    # Both have a row for each query term, or for each of its blocks, and are read several times.
+    base = checkpointed(_base(index, query_terms))
+    blocks = checkpointed(_blocks(index, base))
     own = blocks.groupBy("qid", "term").agg(
         F.max("score").alias("max_score_term"),
         F.avg("score").alias("avg_score_term"),

@@ -47,6 +47,7 @@ class Index:
     block: int = BLOCK
     k: int = K
     cuts: list[int] | None = None
+    held: bool = False
 
     @cached_property
     def _facts(self) -> tuple[int, float, int, int]:
@@ -69,12 +70,28 @@ class Index:
         return met.select("term", "doc_id", "freq", self.scorer.doc_weight(F.col("freq"), F.col("norm_len")).alias("weight"))
 
     def keep(self) -> Index:
-        """Holds the weighted postings in the executors' memory and disks for the queries that follow."""
+        """Holds postings, and terms and blocks once they are asked for, in the executors' memory and disks for the queries
+        that follow."""
+        self.held = True
         self.weighted = self.weighted.persist()
         self.postings = self.weighted.drop("weight")
         self.docs = self.docs.persist()
         return self
 
+    def only(self, wanted: DataFrame) -> Index:
+        """The collection's lists of the terms in wanted(term); documents, lengths and shards stay those of the whole.
+
+        What a query needs of terms, blocks and thresholds is then computed from its own lists alone.
+        """
+        terms = wanted.select("term").distinct()
+        part = Index(self.postings.join(terms, "term", "left_semi"), self.docs, self.scorer, self.shards, self.block, self.k, self.cuts)
+        part._facts = self._facts
+        part.weighted = self.weighted.join(terms, "term", "left_semi")
+        if self.held:
+            part.terms = self.terms.join(terms, "term", "left_semi")
+            part.blocks = self.blocks.join(terms, "term", "left_semi")
+        return part
+
     def bounds(self) -> list[int]:
         """Shard f holds the documents from bounds[f] up to, but without, bounds[f + 1]; even ranges unless cuts are given."""
         if self.cuts:
@@ -102,7 +119,8 @@ class Index:
     @cached_property
     def terms(self) -> DataFrame:
         """(term, df, cf, max_weight): document frequency, occurrences, and the largest posting weight."""
-        return self.weighted.groupBy("term").agg(F.count("*").alias("df"), F.sum("freq").alias("cf"), F.max("weight").alias("max_weight"))
+        rows = self.weighted.groupBy("term").agg(F.count("*").alias("df"), F.sum("freq").alias("cf"), F.max("weight").alias("max_weight"))
+        return rows.persist() if self.held else rows
 
     @cached_property
     def positioned(self) -> DataFrame:
@@ -120,9 +138,10 @@ class Index:
     def blocks(self) -> DataFrame:
         """(term, block_id, n, first_doc, last_doc, max_weight, bytes): runs of `block` postings; gaps and freqs as vbytes."""
         size = vbyte_bytes(F.col("doc_id") - F.col("prev_doc") - 1) + vbyte_bytes(F.col("freq") - 1)
-        return self.positioned.groupBy("term", "block_id").agg(
+        rows = self.positioned.groupBy("term", "block_id").agg(
             F.count("*").alias("n"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.max("weight").alias("max_weight"), F.sum(size).alias("bytes")
         )
+        return rows.persist() if self.held else rows
 
     def kth_weights(self, by_shard: bool = False, k: int | None = None) -> DataFrame:
         """The k-th largest weight of each term (and shard); terms with fewer postings have none."""

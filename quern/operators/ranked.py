@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.operators.index import Index
+from quern.session import checkpointed
 
 SCALE, SLACK = 6, 1e-4
 
@@ -83,6 +84,7 @@ def topk(index: Index, query_terms: DataFrame, k: int | None = None, mode: str =
 
     Pruning is safe for OR only: the k best documents of a single term need not hold the others.
     """
+    index = index.only(query_terms)
     weights = query_weights(index, query_terms)
     k = k or index.k
     if mode == "and":
@@ -94,12 +96,13 @@ def topk(index: Index, query_terms: DataFrame, k: int | None = None, mode: str =
         return best(score(index, weights), k)
     if k > index.k:
         raise ValueError("thresholds are for the index's k; build it with a larger one")
-    return best(score(index, weights, PRUNED[strategy](index, weights, theta(index, query_terms))), k)
+    weights = checkpointed(weights)  # a row for each query term, read by both phases
+    return best(score(index, weights, PRUNED[strategy](index, weights, checkpointed(theta(index, query_terms)))), k)
 
 
 def sharded_topk(index: Index, query_terms: DataFrame, k: int | None = None) -> DataFrame:
     """(qid, shard_id, rank, doc_id, score): the best of each document range, to be merged by merge()."""
-    k = k or index.k
+    k, index = k or index.k, index.only(query_terms)
     scored = score(index, query_weights(index, query_terms)).withColumn("shard_id", index.shard(F.col("doc_id")))
     order = Window.partitionBy("qid", "shard_id").orderBy(F.col("score").desc(), "doc_id")
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("qid", "shard_id", "rank", "doc_id", "score")

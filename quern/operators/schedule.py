@@ -65,7 +65,7 @@ def reads(index: Index, fixed_unit: int | None = None) -> DataFrame:
 def shard_scores(index: Index, query_terms: DataFrame) -> DataFrame:
     """(qid, shard_id, shard_score): the best k-th score that a term of the query has within the shard."""
     added = query_terms.groupBy("qid", "term").agg(F.sum("qtf").alias("qtf"))
-    met = added.join(index.thresholds(by_shard=True), "term")
+    met = added.join(index.only(added).thresholds(by_shard=True), "term")
     return met.groupBy("qid", "shard_id").agg(F.max(F.col("thresh") * F.col("qtf")).alias("shard_score"))
 
 

@@ -125,7 +125,7 @@ def posting_blocks(spark, sf_dir):
 
 def _probes(spark, sf_dir) -> tuple[ix.Index, DataFrame]:
     own, wanted = _text(spark, sf_dir)
-    return own, wanted.select("term", F.pmod(F.col("qid") * 7919, F.lit(own.n_docs)).alias("lower")).distinct()
+    return own.only(wanted), wanted.select("term", F.pmod(F.col("qid") * 7919, F.lit(own.n_docs)).alias("lower")).distinct()
 
 
 @query
@@ -148,6 +148,7 @@ def prev_value_probe(spark, sf_dir):
 @query
 def position_probe(spark, sf_dir):
     own, wanted = _text(spark, sf_dir)
+    own = own.only(wanted)
     at = wanted.join(own.terms.select("term", "df"), "term").select("term", F.pmod(F.col("qid") * 31, F.col("df")).alias("ordinal")).distinct()
     return at.join(own.positioned.select("term", "ordinal", "doc_id", "freq"), ["term", "ordinal"])
 
@@ -196,12 +197,14 @@ def term_shard_threshold(spark, sf_dir):
 
 @query
 def query_threshold(spark, sf_dir):
-    return _rounded(ranked.theta(*_text(spark, sf_dir)), "theta")
+    own, wanted = _text(spark, sf_dir)
+    return _rounded(ranked.theta(own.only(wanted), wanted), "theta")
 
 
 @query
 def essential_terms(spark, sf_dir):
     own, wanted = _text(spark, sf_dir)
+    own = own.only(wanted)
     rows = ranked.running_bounds(ranked.query_weights(own, wanted), ranked.theta(own, wanted))
     return _rounded(rows.select("qid", "term", "qtf", "bound", "running", "essential"), "bound", "running")
 
@@ -276,7 +279,7 @@ def cache_warmup(spark, sf_dir):
 
 def _accesses(spark, sf_dir, budgets: dict[str, int]) -> DataFrame:
     own, wanted = _text(spark, sf_dir)
-    rows = wanted.join(schedule.list_bytes(own).select("term", "list_bytes"), "term")
+    rows = wanted.join(schedule.list_bytes(own.only(wanted)).select("term", "list_bytes"), "term")
     numbered = rows.select(F.col("term").alias("key"), F.col("list_bytes").alias("bytes"), F.row_number().over(Window.partitionBy("qid").orderBy("term")).alias("turn"), "qid").withColumn("seq", F.col("qid") * 1000 + F.col("turn"))
     configs = F.array(*[F.struct(F.lit(k).alias("config"), F.lit(v).cast("long").alias("budget")) for k, v in budgets.items()])
     return numbered.select("key", "bytes", "seq", F.inline(configs))
@@ -296,7 +299,7 @@ def lru_first_touches(spark, sf_dir):
 @query
 def greedy_reorder(spark, sf_dir):
     own, wanted = _text(spark, sf_dir)
-    rows = wanted.join(schedule.list_bytes(own).select("term", "list_bytes"), "term").groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("term", "list_bytes"))).alias("s"))
+    rows = wanted.join(schedule.list_bytes(own.only(wanted)).select("term", "list_bytes"), "term").groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("term", "list_bytes"))).alias("s"))
     return cache.greedy_reorder(rows.select(F.lit("default").alias("config"), F.expr("qid div 100").alias("batch_id"), "qid", F.col("s.term").alias("terms"), F.col("s.list_bytes").alias("sizes")), 20_000)
 
 

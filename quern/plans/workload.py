@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.operators.index import TOKEN, Index, from_texts, from_tokens
-from quern.session import table
+from quern.session import checkpointed, table
 
 _kept: dict[tuple[str, str, str], Index] = {}
+_asked: dict[tuple[str, str], DataFrame] = {}
 #: Terms of a query, and the share of the documents that a query term may be in.
 TERMS, SHARE = 4, 2
 #: Every so many orders, one is a query of the basket collection.
@@ -44,10 +45,20 @@ def text_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_query_terms(spark: SparkSession, sf_dir: str, index: Index) -> DataFrame:
-    """(qid, term, qtf): of each benchmark item the terms in most documents, but in no more than a share of them."""
+    """(qid, term, qtf): of each benchmark item the terms in most documents, but in no more than a share of them.
+
+    Written once for an application, as a batch of queries is a file.
+    """
+    name = spark.sparkContext.applicationId, sf_dir
+    if name not in _asked:
+        _asked[name] = checkpointed(_chosen_terms(spark, sf_dir, index))
+    return _asked[name]
+
+
+def _chosen_terms(spark: SparkSession, sf_dir: str, index: Index) -> DataFrame:
     words = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.explode(F.split(F.lower("text"), TOKEN)).alias("term")).filter("term <> ''")
     counts = words.groupBy("qid", "term").agg(F.count("*").alias("qtf"))
-    known = counts.join(index.terms.select("term", "df"), "term").filter(F.col("df") * SHARE <= index.n_docs)
+    known = counts.join(index.only(counts).terms.select("term", "df"), "term").filter(F.col("df") * SHARE <= index.n_docs)
     order = Window.partitionBy("qid").orderBy(F.col("df").desc(), "term")
     return known.withColumn("turn", F.row_number().over(order)).filter(F.col("turn") <= TERMS).select("qid", "term", "qtf")
 
