@@ -1,11 +1,12 @@
 """Line deduplication over overlapping windows of three lines, with DataFrame functions only.
 
 Lines with a word are numbered within their document, each window of three consecutive ones is hashed to 128 bits, and of
-every window found more than once only its first occurrence (smallest key, then position) stays. The lines that later
-occurrences cover are removed together: overlapping windows merge, blank lines inside a covered stretch go as well.
+every window found more than once only its first occurrence (smallest key, then position) stays. One or two lines that already
+hold more than LONG words are a window too, so that a passage of that length is found however few lines it has. The lines that
+later occurrences cover are removed together: overlapping windows merge, blank lines inside a covered stretch go as well.
 
-Null text stays null, an empty one stays empty; a text with fewer than three lines with a word never changes. Rows that repeat
-both key and text count as one occurrence and are treated alike. Columns of the input keep their names, whatever they are.
+Null text stays null, an empty one stays empty; texts of one or two lines change only by a repeated long passage. Rows that
+repeat both key and text count as one occurrence and are treated alike. Columns of the input keep their names, whatever they are.
 """
 
 from __future__ import annotations
@@ -13,32 +14,42 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.text import positional
+from quern.llm.text import WORD, positional
 from quern.session import checkpointed
 
 WINDOW = 3
+#: Words of which fewer lines than WINDOW must have more to be a window.
+LONG = 50
 #: Second hash of a line: the first one is xxhash64 of the line alone.
 SALT = "line"
 
 
 def _windows(lines: Column) -> Column:
-    """Array of (at, last, a, b) for the windows of an array of numbered lines (at, a, b)."""
-    span = F.sequence(F.lit(0), F.size(lines) - WINDOW)
-    made = F.transform(
-        span,
-        lambda i: F.struct(
-            lines[i]["at"].alias("at"),
-            lines[i + (WINDOW - 1)]["at"].alias("last"),
-            *[F.xxhash64(*[lines[i + k][h] for k in range(WINDOW)]).alias(h) for h in ("a", "b")],
-        ),
-    )
-    return F.when(F.size(lines) >= WINDOW, made)
+    """Array of (at, last, a, b) for the windows of an array of numbered lines (at, a, b, words)."""
+
+    def window(i: Column, n: int) -> Column:
+        hashes = [F.xxhash64(*[F.get(lines, i + k)[h] for k in range(n)]).alias(h) for h in ("a", "b")]
+        return F.struct(lines[i]["at"].alias("at"), F.get(lines, i + (n - 1))["at"].alias("last"), *hashes)
+
+    def short(i: Column) -> Column:
+        found, held = F.lit(None), F.lit(0)
+        tests = []
+        for n in range(1, WINDOW):
+            held = held + F.get(lines, i + (n - 1))["words"]
+            tests.append((held > LONG, window(i, n)))
+        for enough, made in reversed(tests):
+            found = F.when(enough, made).otherwise(found)
+        return found
+
+    whole = F.transform(F.sequence(F.lit(0), F.size(lines) - WINDOW), lambda i: window(i, WINDOW))
+    long_ = F.filter(F.transform(F.sequence(F.lit(0), F.size(lines) - 1), short), lambda w: w.isNotNull())
+    return F.when(F.size(lines) >= WINDOW, F.concat(whole, long_)).when(F.size(lines) > 0, long_)
 
 
 def occurrences(docs: DataFrame, key: str, text: str) -> DataFrame:
     """One row (key, version, at, last, a, b) for each window; version tells apart texts that share a key."""
-    lines = F.transform(F.split(F.col(text), "\n"), lambda x, i: F.struct(i.alias("at"), F.xxhash64(x).alias("a"), F.xxhash64(F.lit(SALT), x).alias("b"), x.rlike(r"[^\x20\x09-\x0D]").alias("word")))
-    numbered = docs.filter(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.xxhash64(text).alias("version"), F.filter(lines, lambda x: x["word"]).alias("lines"))
+    lines = F.transform(F.split(F.col(text), "\n"), lambda x, i: F.struct(i.alias("at"), F.xxhash64(x).alias("a"), F.xxhash64(F.lit(SALT), x).alias("b"), F.regexp_count(x, F.lit(WORD)).alias("words")))
+    numbered = docs.filter(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.xxhash64(text).alias("version"), F.filter(lines, lambda x: x["words"] > 0).alias("lines"))
     return numbered.select("key", "version", F.inline(_windows(F.col("lines"))))
 
 

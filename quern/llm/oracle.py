@@ -87,12 +87,17 @@ from c
 OP8 = r"""
 with d as (select doc_id, text, string_split(text, chr(10)) as lines from documents),
 n as (select doc_id, unnest(lines) as line, generate_subscripts(lines, 1) - 1 as place from d where text is not null),
+m as (select *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) as words from n),
 w as (
-  select doc_id, place, line, lead(line) over p as line2, lead(line, 2) over p as line3, lead(place, 2) over p as final
-  from n where regexp_matches(line, '[^\x20\x09-\x0D]')
+  select doc_id, place, line, words, lead(line) over p as line2, lead(line, 2) over p as line3, lead(place) over p as final2, lead(place, 2) over p as final3,
+    lead(words) over p as words2
+  from m where words > 0
   window p as (partition by doc_id order by place)),
-f as (
-  select *, row_number() over (partition by line, line2, line3 order by doc_id, place) as turn from w where final is not null),
+o as (
+  select doc_id, place, final3 as final, [line, line2, line3] as held from w where final3 is not null
+  union all select doc_id, place, place, [line] from w where words > 50
+  union all select doc_id, place, final2, [line, line2] from w where words <= 50 and words + words2 > 50),
+f as (select *, row_number() over (partition by held order by doc_id, place) as turn from o),
 gone as (select distinct doc_id, unnest(generate_series(place, final)) as place from f where turn > 1),
 left_ as (
   select n.doc_id, string_agg(line, chr(10) order by n.place) filter (where gone.place is null) as kept,

@@ -299,12 +299,6 @@ def test_mixes_of_odd_documents(clashing, odd_docs, odd_rows, no_docs):
 # Line dedup
 
 
-def brute_dedup(rows):
-    """Rows with a key each; equal rows are one."""
-    versions = sorted({(k is not None, k, t) for k, t in rows if t is not None}, key=lambda r: (r[0], r[1] or 0))
-    return versions
-
-
 def test_repeated_passages_go(spark):
     docs = [(1, "a1\nx\ny\nz\nb1"), (2, "a2\nx\ny\nz\nb2"), (3, "x\n\n y\ny\nz"), (4, "x\ny\n\nz"), (5, "q\nq\nq\nq\nq"), (6, "x\ny"), (7, None), (8, ""), (2, "other\nx\ny\nz")]
     df = spark.createDataFrame(docs, "doc_id long, text string")
@@ -317,6 +311,15 @@ def test_repeated_passages_go(spark):
     assert {got[2, 5], got[2, 4]} == {("a2\nb2", 3), ("other", 3)}
 
 
+def test_long_passages_of_few_lines_go(spark):
+    one = " ".join(f"w{i}" for i in range(51))
+    two = " ".join(f"v{i}" for i in range(30)), " ".join(f"u{i}" for i in range(21))
+    short = " ".join(f"w{i}" for i in range(50))
+    docs = [(1, f"a\n{one}\nb"), (2, f"c\n{one}"), (3, f"d\n{two[0]}\n\n{two[1]}\ne"), (4, f"{two[0]}\n{two[1]}\nf"), (5, short), (6, short), (7, one)]
+    got = {r.doc_id: r.text for r in lines.dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {1: docs[0][1], 2: "c", 3: docs[2][1], 4: "f", 5: short, 6: short, 7: ""}
+
+
 def test_lines_of_odd_documents(clashing, odd_docs, odd_rows, no_docs):
     out = lines.dedup(clashing, bare=True)
     assert out.columns == clashing.columns and out.count() == len(odd_rows)
