@@ -17,12 +17,19 @@ from quern.functions.sizes import vbyte_bytes
 
 BLOCK, SHARDS, K = 128, 8, 10
 TOKEN = r"[^\p{L}\p{N}]+"
+#: Bytes of a part, and the size from which on an estimate is none.
+PART, UNKNOWN = 64 << 20, 1 << 60
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """df over the session's parallelism, if it came in fewer splits than that; by keys, so that grouping by them is local."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(max(cores, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *keys)
+    """df in at least as many parts as the session runs at once, and in parts of about PART bytes if it is larger than that.
+
+    By keys, so that grouping by them and others needs no further shuffle. The size is the optimizer's estimate; no job runs.
+    """
+    spark = df.sparkSession
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    parts = size // PART if size < UNKNOWN else 0
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), parts), *keys)
 
 
 def tokens(texts: DataFrame, key: str, text: str) -> DataFrame:
