@@ -7,8 +7,8 @@ reach the k-th best lower bound are dropped and the others compacted.
 
 Vectors that are null, or hold a null or non-finite component, and rows without an id take no part. Only vectors of the same
 length are compared. Ties go to the smaller id. Rows that repeat an id are separate candidates, but never of a query with that
-id; a query id that occurs twice asks once for each row, and the k best of both are returned. Components must stay below 2**26
-in size, so that sums of products are exact in doubles; otherwise the query fails.
+id; a query id that occurs twice asks once for each row, and the k best of both are returned. Sums of products are exact in doubles up to
+2**53; blocks with larger components are multiplied as 64-bit integers, without bounds, and fail if those could overflow.
 """
 
 from __future__ import annotations
@@ -24,7 +24,6 @@ from quern.session import ship
 
 #: Dimensions of a step.
 STEP = 8
-LARGEST = 1 << 26
 
 
 def quantised(vector: Column, scale: int) -> Column:
@@ -35,14 +34,28 @@ def quantised(vector: Column, scale: int) -> Column:
 
 def _matrix(table: pa.Table) -> np.ndarray:
     rows = table.column("v").combine_chunks()
-    flat = rows.flatten().to_numpy().astype(np.float64)
-    if len(flat) and np.abs(flat).max() >= LARGEST:
-        raise ValueError("components too large for exact sums")
-    return flat.reshape(len(rows), -1)
+    return rows.flatten().to_numpy().reshape(len(rows), -1)
+
+
+def plain_best(queries: np.ndarray, q_ids: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What best() returns, by integer products; for components that doubles cannot multiply exactly."""
+    out: tuple[list, list, list] = ([], [], [])
+    for q, own in zip(queries, q_ids, strict=True):
+        score = rows @ q
+        top = [i for i in np.lexsort((ids, -score)) if ids[i] != own][:k]
+        for part, values in zip(out, (np.full(len(top), own), ids[top], score[top]), strict=True):
+            part.append(values)
+    return tuple(np.concatenate(x) for x in out)
 
 
 def best(queries: np.ndarray, q_ids: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Query ids, row ids and scores of the k best rows of every query, in no special order."""
+    most = int(np.abs(queries).max()) * int(np.abs(rows).max()) * rows.shape[1]
+    if most >= 1 << 63:
+        raise OverflowError("inner products may exceed 64 bits")
+    if most >= 1 << 53:
+        return plain_best(queries, q_ids, rows, ids, k)
+    queries, rows = queries.astype(np.float64), rows.astype(np.float64)
     order = np.argsort(-np.square(rows).sum(axis=0), kind="stable")  # heavy dimensions first
     tall = np.ascontiguousarray(rows.T[order])
     steps = range(0, len(order), STEP)

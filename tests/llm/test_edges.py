@@ -149,6 +149,17 @@ def test_top_k_against_all_pairs(spark):
     assert search.top_k(df.limit(0), F.col("vec_id") % 20 == 0, 5, 64).count() == 0
 
 
+def test_large_components_are_multiplied_exactly(spark):
+    rng = random.Random(9)
+    rows = [(i, [float(rng.randrange(-(2**24), 2**24)) for _ in range(3)]) for i in range(60)]
+    got = search.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, 4, 64).orderBy("query_id", "rank").collect()
+    want = []
+    for q, v in rows[::20]:
+        scores = sorted((-sum(int(64 * a) * int(64 * b) for a, b in zip(v, w)), i) for i, w in rows if i != q)[:4]
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scores)]
+    assert [tuple(r) for r in got] == want
+
+
 # SimHash
 
 
