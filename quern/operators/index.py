@@ -21,13 +21,18 @@ TOKEN = r"[^\p{L}\p{N}]+"
 PART, UNKNOWN = 64 << 20, 1 << 60
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """The optimizer's estimate of df's size."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """df in at least as many parts as the session runs at once, and in parts of about PART bytes if it is larger than that.
 
     By keys, so that grouping by them and others needs no further shuffle. The size is the optimizer's estimate; no job runs.
     """
     spark = df.sparkSession
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = estimated_bytes(df)
     parts = size // PART if size < UNKNOWN else 0
     return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), parts), *keys)
 
