@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 from uuid import uuid4
 
@@ -13,7 +12,7 @@ from quern.functions import sizes
 from quern.functions.codecs import CODECS, coded, decoded
 from quern.operators import boolean, cache, features, index as ix, partition, ranked, schedule
 from quern.plans.workload import basket_index, basket_query_terms, page_index, text_index, text_queries, text_query_terms
-from quern.session import table
+from quern.session import shared_folder, table
 from quern.sources.files import dense_terms
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -330,6 +329,6 @@ def streamed_event_counts(spark, sf_dir):
     rows = rows.withColumn("ts", F.col("ts").cast("timestamp"))
     counts = rows.withWatermark("ts", "1 hour").groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"))
     name = f"quern_{uuid4().hex}"
-    run = counts.select(F.col("w.start").cast("timestamp_ntz").alias("hour"), "event_type", "n").writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", tempfile.mkdtemp(prefix="quern-stream-")).trigger(availableNow=True).start()
+    run = counts.select(F.col("w.start").cast("timestamp_ntz").alias("hour"), "event_type", "n").writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", f"{shared_folder(spark)}/stream-{name}").trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.table(name)
