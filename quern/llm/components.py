@@ -8,16 +8,24 @@ from pyspark.sql import functions as F
 from quern.session import checkpointed
 
 
+def _least(links: DataFrame) -> DataFrame:
+    """(u, m): the smallest neighbour of each node, combined before the shuffle.
+
+    It is checkpointed, so that the join that follows reads two plain shuffles and AQE can split the links of a hub.
+    """
+    return checkpointed(links.groupBy("u").agg(F.min("v").alias("m")))
+
+
 def _large_star(links: DataFrame) -> DataFrame:
     """Each node joins its larger neighbours to the smallest node that it knows."""
     both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least = _least(both).select("u", F.least("u", "m").alias("m"))
     return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(links: DataFrame) -> DataFrame:
     """links goes from larger to smaller nodes; each node joins its smaller neighbours, and itself, to the smallest."""
-    least = links.groupBy("u").agg(F.min("v").alias("m"))
+    least = _least(links)
     joined = links.join(least, "u")
     return joined.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
 

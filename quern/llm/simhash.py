@@ -120,7 +120,7 @@ def near_duplicates(rows: DataFrame, key: str) -> DataFrame:
     roots = components(links(nodes.select("fp")))
     rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     rooted = checkpointed(rooted)
-    least = rooted.groupBy("root").agg(F.min("least").alias("component"))
+    least = checkpointed(rooted.groupBy("root").agg(F.min("least").alias("component")))
     return rows.join(rooted.join(least, "root").select("fp", "root", "component"), "fp")
 
 
