@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.text import by_rows
+from quern.llm.text import by_rows, dealt
 from quern.session import ship
 
 UNKNOWN = "und"
@@ -109,7 +109,7 @@ def _frequencies(docs: DataFrame, text: str) -> tuple[np.ndarray, int]:
         if n:
             yield pa.RecordBatch.from_arrays([pa.array([*there.tolist(), -1], pa.int64()), pa.array([*total[there].tolist(), n], pa.int64())], names=["gram", "n"])
 
-    rows = docs.select(text).mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
+    rows = dealt(docs.select(text)).mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
     out, n = np.zeros(SIZE), 0
     for gram, k in rows:
         if gram < 0:

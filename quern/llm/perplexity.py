@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.text import by_rows
+from quern.llm.text import by_rows, dealt
 from quern.session import checkpointed, ship
 
 ORDER = 5
@@ -76,7 +76,7 @@ def counted(docs: DataFrame, text: str) -> DataFrame:
                     keys, counts = keys[:0], counts[:0]
         yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], names=["gram", "n"])
 
-    return docs.select(text).mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return dealt(docs.select(text)).mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 def _discounts(counts: DataFrame) -> list[float]:

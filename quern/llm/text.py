@@ -18,6 +18,8 @@ BLANKS = " \t\n\x0b\x0c\r"
 
 #: Rows of an Arrow batch that are worked on together; bounds the memory of a Python worker.
 ROWS = 256
+#: Estimated bytes below which a table counts as small.
+FEW_BYTES = 16 << 20
 
 
 def words(text: str) -> list[bytes]:
@@ -30,6 +32,16 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """df over all cores, if it is a small table in fewer files than there are cores, as a file may be one split.
+
+    Only where the rows lie changes. The size is the optimizer's estimate, and files are listed for small tables alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    small = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < FEW_BYTES
+    return df.repartition(cores) if small and 0 < len(df.inputFiles()) < cores else df
+
+
 def by_rows(df: DataFrame, inputs: list[str], kept: list[str], work: Callable[..., list[list]], made: str) -> DataFrame:
     """The kept columns and those of the DDL string made, which work returns for slices of at most ROWS rows.
 
@@ -52,7 +64,7 @@ def by_rows(df: DataFrame, inputs: list[str], kept: list[str], work: Callable[..
                 yield pa.RecordBatch.from_arrays([*[part.column(i) for i in n_kept], *arrays], names=[*[part.schema.names[i] for i in n_kept], *[f.name for f in target]])
 
     fields = [StructField(c, df.schema[c].dataType, True) for c in kept] + [StructField(f.name, f.dataType, True) for f in new]
-    return df.select(*both).mapInArrow(run, StructType(fields))
+    return dealt(df.select(*both)).mapInArrow(run, StructType(fields))
 
 
 def positional(df: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
