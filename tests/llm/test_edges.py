@@ -390,6 +390,19 @@ def test_licenses(spark, odd_docs, no_docs):
     assert licences.scan(odd_docs).count() == 0 and licences.scan(no_docs).count() == 0
 
 
+def licenses_of(text):
+    return [(h[2], h[6]) for h in licences.match(text)]
+
+
+def test_licenses_within_long_lines():
+    prose = "the committee met on a cold morning to talk about the harvest and the price of grain in the valley. " * 5
+    for name, wordings in licences.TEMPLATES.items():
+        for wording in wordings:
+            assert licenses_of(f"{prose}{wording} {prose}") == [(name, True)]
+    assert licenses_of(f"{prose}Licensed under the Apache License, Version 9.9. {prose}") == [("Apache-2.0", False)]
+    assert licenses_of(prose + "I have no license to sing. " + prose) == []
+
+
 def test_rows_keep_their_order_and_types(odd_docs, odd_rows):
     got = by_rows(odd_docs, ["text"], ["doc_id", "n_chars"], lambda t: [[len(x or "") for x in t]], "n long").collect()
     assert Counter((r.doc_id, r.n_chars, r.n) for r in got) == Counter((r[0], r[4], len(r[1] or "")) for r in odd_rows)
