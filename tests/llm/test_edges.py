@@ -403,6 +403,18 @@ def test_licenses_within_long_lines():
     assert licenses_of(prose + "I have no license to sing. " + prose) == []
 
 
+def test_licenses_in_their_ordinary_layout():
+    mit = licences.TEMPLATES["MIT"][1]
+    for blank in ("\n\n", "\n#\n# ", "\n *\n * "):
+        assert licenses_of(mit.replace(" The above", f"{blank}The above")) == [("MIT", True)]
+    mpl = licences.TEMPLATES["MPL-2.0"][0].replace("Public License", "Public\nLicense").replace("this file", "this\nfile")
+    assert [h[:3] for h in licences.match("Title\n" + mpl)] == [(1, 3, "MPL-2.0")] and licenses_of(mpl) == [("MPL-2.0", True)]
+    near = mpl.replace("v. 2.0", "v. 7.0").replace(" You", "\n\nYou")
+    assert [(h[:3], h[4], h[6]) for h in licences.match("Title\n" + near)] == [((1, 5, "MPL-2.0"), ["2.0"], False)]
+    zero = licences.TEMPLATES["CC0-1.0"][1]
+    assert licenses_of("Words of an author who lives here. " + zero.replace(" has", "\nhas")) == [("CC0-1.0", True)]
+
+
 def test_rows_keep_their_order_and_types(odd_docs, odd_rows):
     got = by_rows(odd_docs, ["text"], ["doc_id", "n_chars"], lambda t: [[len(x or "") for x in t]], "n long").collect()
     assert Counter((r.doc_id, r.n_chars, r.n) for r in got) == Counter((r[0], r[4], len(r[1] or "")) for r in odd_rows)
