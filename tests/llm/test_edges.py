@@ -415,6 +415,17 @@ def test_licenses_in_their_ordinary_layout():
     assert licenses_of("Words of an author who lives here. " + zero.replace(" has", "\nhas")) == [("CC0-1.0", True)]
 
 
+def test_clauses_tell_licenses_apart():
+    three = licences.TEMPLATES["BSD-3-Clause"][1].replace("name of nor", "name of the copyright holder nor").replace("SHALL BE", "SHALL THE COPYRIGHT OWNER OR CONTRIBUTORS BE")
+    three = three.replace("PROVIDED BY", "PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS")
+    for i, clause in enumerate(("Redistributions of", "Redistributions in", "Neither the"), 1):
+        three = three.replace(clause, f"\n\n{i}. {clause}")
+    third = three[three.index("\n\n3.") : three.index("THIS SOFTWARE IS")]
+    two = three.replace(third, "\n\n")
+    assert licenses_of(three) == [("BSD-3-Clause", True)] and licenses_of(two) == [("BSD-2-Clause", True)]
+    assert not any(sure for _, sure in licenses_of(three.replace("endorse", "praise")) + licenses_of(two[: two.index("\n\n2.")]))
+
+
 def test_rows_keep_their_order_and_types(odd_docs, odd_rows):
     got = by_rows(odd_docs, ["text"], ["doc_id", "n_chars"], lambda t: [[len(x or "") for x in t]], "n long").collect()
     assert Counter((r.doc_id, r.n_chars, r.n) for r in got) == Counter((r[0], r[4], len(r[1] or "")) for r in odd_rows)
