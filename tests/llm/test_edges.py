@@ -426,6 +426,12 @@ def test_clauses_tell_licenses_apart():
     assert not any(sure for _, sure in licenses_of(three.replace("endorse", "praise")) + licenses_of(two[: two.index("\n\n2.")]))
 
 
+def test_every_template_can_be_confirmed():
+    everything = [(name, w) for name, wordings in licences.TEMPLATES.items() for w in wordings]
+    text = " ".join(f"{w} And so much for that, which has some words of its own." for _, w in everything)
+    assert Counter(licenses_of(text)) == Counter((name, True) for name, _ in everything)
+
+
 def test_rows_keep_their_order_and_types(odd_docs, odd_rows):
     got = by_rows(odd_docs, ["text"], ["doc_id", "n_chars"], lambda t: [[len(x or "") for x in t]], "n long").collect()
     assert Counter((r.doc_id, r.n_chars, r.n) for r in got) == Counter((r[0], r[4], len(r[1] or "")) for r in odd_rows)
