@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from quern.operators.features import ALL, SHARD_FEATURES
+from quern.plans.workload import ASKED
 
 TOKEN = r"[^\p{L}\p{N}]+"
 
@@ -50,6 +51,11 @@ qt as (
   where r <= 4),
 qs as (select item_id as qid from benchmark)
 """
+ALL_TERMS = rf"""
+qw as (select item_id as qid, unnest(regexp_split_to_array(lower(text), '{TOKEN}')) as term from benchmark),
+qt as (select qid, term, count(*)::bigint as qtf from qw where term <> '' group by qid, term),
+qs as (select item_id as qid from benchmark)
+"""
 BASKET_TERMS = """
 qt as (select l_orderkey as qid, l_partkey as term, count(*)::bigint as qtf from lineitem group by all),
 qs as (select distinct qid from qt)
@@ -245,3 +251,6 @@ from blocks, (select unnest(['vbyte', 'interpolative', 'gamma', 'delta', 'raw',
     ),
     "streamed_event_counts": "select date_trunc('hour', ts) as hour, event_type, count(*)::bigint as n from events group by all",
 }
+ORACLE_SQL |= {f"whole_{name}": ORACLE_SQL[name].replace(QUERY_TERMS, ALL_TERMS) for name in ASKED if name in ORACLE_SQL}
+# A word that no document holds has no list to be read.
+ORACLE_SQL["whole_lru_first_touches"] = ORACLE_SQL["whole_lru_first_touches"].removesuffix(" from qt") + " from qt where term in (select term from terms)"

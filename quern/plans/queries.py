@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextvars import ContextVar
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from quern.functions import sizes
 from quern.functions.codecs import CODECS, coded, decoded
 from quern.operators import boolean, cache, features, index as ix, partition, ranked, schedule
-from quern.plans.workload import basket_index, basket_query_terms, page_index, text_index, text_queries, text_query_terms
+from quern.plans.workload import ASKED, basket_index, basket_query_terms, page_index, text_index, text_queries, text_query_terms
 from quern.session import shared_folder, table
 from quern.sources.files import dense_terms
 
@@ -20,6 +21,8 @@ QUERIES: dict[str, Query] = {}
 #: Look-ahead of the planner, bytes of the cache, and digits of results.
 AHEAD, BUDGET, DIGITS = 4, 200_000, 6
 UNLIMITED = 1 << 60
+#: Whether the queries that are being made ask for all terms of the benchmark's texts.
+_whole = ContextVar("whole", default=False)
 
 
 def query(f: Query) -> Query:
@@ -33,7 +36,7 @@ def _rounded(df: DataFrame, *names: str) -> DataFrame:
 
 def _text(spark: SparkSession, sf_dir: str) -> tuple[ix.Index, DataFrame]:
     own = text_index(spark, sf_dir)
-    return own, text_query_terms(spark, sf_dir, own)
+    return own, text_query_terms(spark, sf_dir, own, _whole.get())
 
 
 @query
@@ -279,7 +282,7 @@ def cache_warmup(spark, sf_dir):
 def _accesses(spark, sf_dir, budgets: dict[str, int]) -> DataFrame:
     own, wanted = _text(spark, sf_dir)
     rows = wanted.join(schedule.list_bytes(own.only(wanted)).select("term", "list_bytes"), "term")
-    numbered = rows.select(F.col("term").alias("key"), F.col("list_bytes").alias("bytes"), F.row_number().over(Window.partitionBy("qid").orderBy("term")).alias("turn"), "qid").withColumn("seq", F.col("qid") * 1000 + F.col("turn"))
+    numbered = rows.select(F.col("term").alias("key"), F.col("list_bytes").alias("bytes"), F.row_number().over(Window.partitionBy("qid").orderBy("term")).alias("turn"), "qid").withColumn("seq", F.col("qid") * 1_000_000 + F.col("turn"))
     configs = F.array(*[F.struct(F.lit(k).alias("config"), F.lit(v).cast("long").alias("budget")) for k, v in budgets.items()])
     return numbered.select("key", "bytes", "seq", F.inline(configs))
 
@@ -332,3 +335,17 @@ def streamed_event_counts(spark, sf_dir):
     run = counts.select(F.col("w.start").cast("timestamp_ntz").alias("hour"), "event_type", "n").writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", f"{shared_folder(spark)}/stream-{name}").trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.table(name)
+
+
+def _over_whole_texts(run: Query) -> Query:
+    def over(spark, sf_dir):
+        token = _whole.set(True)
+        try:
+            return run(spark, sf_dir)
+        finally:
+            _whole.reset(token)
+
+    return over
+
+
+QUERIES |= {f"whole_{name}": _over_whole_texts(QUERIES[name]) for name in ASKED}

@@ -9,7 +9,13 @@ from quern.operators.index import TOKEN, Index, from_texts, from_tokens
 from quern.session import checkpointed, table
 
 _kept: dict[tuple[str, str, str], Index] = {}
-_asked: dict[tuple[str, str], DataFrame] = {}
+_asked: dict[tuple[str, str, bool], DataFrame] = {}
+#: Queries that ask for text_query_terms; each is also registered as whole_..., over all terms of the benchmark's texts.
+ASKED = (
+    "query_terms_text", "and_count", "and_freqs", "or_count", "or_freqs", "ranked_or_topk", "ranked_and_topk", "wand_topk", "maxscore_topk", "bmw_topk", "next_geq_probe",
+    "block_asof_lookup", "prev_value_probe", "position_probe", "sharded_and_count", "sharded_topk", "merged_topk", "query_threshold", "essential_terms", "shard_score", "shard_tasks",
+    "features_term", "features_query", "lookahead_terms", "lru_simulation", "lru_first_touches", "greedy_reorder",
+)
 #: Terms of a query, and the share of the documents that a query term may be in.
 TERMS, SHARE = 4, 2
 
@@ -42,20 +48,24 @@ def text_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"))
 
 
-def text_query_terms(spark: SparkSession, sf_dir: str, index: Index) -> DataFrame:
-    """(qid, term, qtf): of each benchmark item the terms in most documents, but in no more than a share of them.
+def text_query_terms(spark: SparkSession, sf_dir: str, index: Index, whole: bool = False) -> DataFrame:
+    """(qid, term, qtf): of each benchmark item the terms in most documents, but in no more than a share of them; or all its terms.
 
     Written once for an application, as a batch of queries is a file.
     """
-    name = spark.sparkContext.applicationId, sf_dir
+    name = spark.sparkContext.applicationId, sf_dir, whole
     if name not in _asked:
-        _asked[name] = checkpointed(_chosen_terms(spark, sf_dir, index))
+        _asked[name] = checkpointed(_all_terms(spark, sf_dir) if whole else _chosen_terms(spark, sf_dir, index))
     return _asked[name]
 
 
-def _chosen_terms(spark: SparkSession, sf_dir: str, index: Index) -> DataFrame:
+def _all_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.explode(F.split(F.lower("text"), TOKEN)).alias("term")).filter("term <> ''")
-    counts = words.groupBy("qid", "term").agg(F.count("*").alias("qtf"))
+    return words.groupBy("qid", "term").agg(F.count("*").alias("qtf"))
+
+
+def _chosen_terms(spark: SparkSession, sf_dir: str, index: Index) -> DataFrame:
+    counts = _all_terms(spark, sf_dir)
     known = counts.join(index.only(counts).terms.select("term", "df"), "term").filter(F.col("df") * SHARE <= index.n_docs)
     order = Window.partitionBy("qid").orderBy(F.col("df").desc(), "term")
     return known.withColumn("turn", F.row_number().over(order)).filter(F.col("turn") <= TERMS).select("qid", "term", "qtf")

@@ -17,6 +17,12 @@ def test_query_without_sql_runs(name, spark, sf_dir):
     assert QUERIES[name](spark, sf_dir).count() > 0
 
 
+def test_whole_queries_ask_for_every_word(spark, sf_dir, duck):
+    words = duck.sql(r"select count(distinct (item_id, w)) from (select item_id, unnest(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+')) as w from benchmark) where w <> ''").fetchall()[0][0]
+    assert QUERIES["whole_query_terms_text"](spark, sf_dir).count() == words > QUERIES["query_terms_text"](spark, sf_dir).count()
+    assert {f"whole_{n}" for n in QUERIES if n.endswith("topk") and not n.startswith("whole_")} <= set(QUERIES)
+
+
 def test_entry(spark):
     got = __spark_entry__.entry(spark)
     assert got.columns == ["qid", "rank", "doc_id", "score"]
