@@ -120,9 +120,11 @@ def _frequencies(docs: DataFrame, text: str) -> tuple[np.ndarray, int]:
 
 
 def fit(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", lang: str = "lang", most: int = MOST_TRAINING) -> Model:
-    """Learns from the rows where learn holds and the language is known."""
+    """Learns from the rows where learn holds and the language is known; an error if there are more than most // 8 languages."""
     rows = docs.filter(learn & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang"))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most // 8).collect()}
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most // 8 + 1).collect()}
+    if len(sizes) > most // 8:
+        raise ValueError(f"more than {most // 8} languages: the sample has no room for eight rows of each, so give a larger most")
     share = max(8, most // max(1, len(sizes)))
     draw = (F.xxhash64(F.lit("langid"), "key").bitwiseAND(F.lit((1 << 53) - 1))) / float(1 << 53)
     rate = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, share / n)))]) if sizes else None

@@ -390,6 +390,13 @@ def test_licenses(spark, odd_docs, no_docs):
     assert licences.scan(odd_docs).count() == 0 and licences.scan(no_docs).count() == 0
 
 
+def test_no_language_is_left_out_silently(spark):
+    rows = spark.createDataFrame([(i, f"some words of number {i}", f"l{i % 3}") for i in range(30)], "doc_id long, text string, lang string")
+    assert len(langid.fit(rows, F.lit(True), most=24).languages) == 3
+    with pytest.raises(ValueError, match="more than 2 languages"):
+        langid.fit(rows, F.lit(True), most=16)
+
+
 def licenses_of(text):
     return [(h[2], h[6]) for h in licences.match(text)]
 
