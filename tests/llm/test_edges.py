@@ -149,15 +149,51 @@ def test_top_k_against_all_pairs(spark):
     assert search.top_k(df.limit(0), F.col("vec_id") % 20 == 0, 5, 64).count() == 0
 
 
-def test_large_components_are_multiplied_exactly(spark):
+def brute_top(rows, k):
+    """Scores beyond 64 bits count as the largest or smallest number there is."""
+    whole = [(i, [math.floor(64 * x) for x in v]) for i, v in rows]
+    out = []
+    for q, v in whole:
+        if q % 20 == 0:
+            scores = sorted((-min(max(sum(a * b for a, b in zip(v, w)), -(2**63)), 2**63 - 1), i) for i, w in whole if i != q)[:k]
+            out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scores)]
+    return sorted(out)
+
+
+def test_components_of_any_size(spark):
     rng = random.Random(9)
-    rows = [(i, [float(rng.randrange(-(2**24), 2**24)) for _ in range(3)]) for i in range(60)]
-    got = search.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, 4, 64).orderBy("query_id", "rank").collect()
-    want = []
-    for q, v in rows[::20]:
-        scores = sorted((-sum(int(64 * a) * int(64 * b) for a, b in zip(v, w)), i) for i, w in rows if i != q)[:4]
-        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scores)]
-    assert [tuple(r) for r in got] == want
+    near = [[float(rng.randrange(-(2**24), 2**24)) for _ in range(3)] for _ in range(60)]
+    far = [[rng.choice((1e8, -1e8, 1.0)), rng.uniform(-1, 1), rng.choice((0.0, 0.015625))] for _ in range(60)]
+    odd = [*[[1e12, 1.0, 0.0]] * 3, *[[1e30, -1e30, 1.0]] * 3, [1e300, 0.0, 0.0], *[[0.25, 0.5, rng.random()] for _ in range(50)]]
+    for vectors in (near, far, odd):
+        rows = list(enumerate(vectors))
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        got = search.top_k(df, F.col("vec_id") % 20 == 0, 4, 64).orderBy("query_id", "rank").collect()
+        assert [tuple(r) for r in got] == brute_top(rows, 4)
+
+
+def test_blocks_that_no_query_needs_are_never_paired(spark):
+    """A few long vectors bound the scores of the short ones, most of which then take part in no pair."""
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in rng.normal(size=6) * (8.0 if i < 1500 else 0.05)]) for i in range(6000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)
+    got = search.top_k(df, F.col("vec_id") % 20 == 0, 4, 64).filter("query_id < 200").orderBy("query_id", "rank").collect()
+    whole = np.floor(64 * np.array([v for _, v in rows], np.float32).astype(np.float64))
+    for q in range(0, 200, 20):
+        scores = whole @ whole[q]
+        want = [i for i in np.lexsort((np.arange(len(rows)), -scores)) if i != q][:4]
+        assert [(r.vec_id, r.score) for r in got if r.query_id == q] == [(i, scores[i]) for i in want]
+    dealt = search.checkpointed(search._dealt(df, F.col("vec_id") % 20 == 0, 64, "vec_id", "embedding"))
+    asked = search._query_blocks(search._needs(dealt.filter("asks").withColumn("reached", F.when(F.col("norm") > 64, 100_000.0))), "need")
+    pairs = search.block_pairs(dealt, asked)
+    every = dealt.filter("not first").select("class", "part").distinct().count() * asked.select("need", "turn").distinct().count()
+    assert 0 < pairs.count() < every and dealt.groupBy("class", "part").count().agg(F.max("count")).first()[0] <= 2 * search.FEW_ROWS + 6000 // search.BLOCKS
+
+
+def test_repeated_ids_are_candidates_of_their_own(spark):
+    rows = [(20, [1.0, 2.0]), (20, [3.0, 1.0]), (21, [1.0, 1.0]), (21, [1.0, 1.0]), (22, [-1.0, 0.0])]
+    got = search.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 20 == 0, 3, 1).collect()
+    assert sorted(tuple(r) for r in got) == [(20, 1, 21, 4), (20, 2, 21, 4), (20, 3, 21, 3)]
 
 
 # SimHash
