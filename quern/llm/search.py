@@ -3,8 +3,9 @@
 Vectors become integers. Rows are dealt into blocks of bounded bytes by the size of their norm, the largest first, as these can have
 the largest products. The first block gives every query a score that k rows are sure to reach. By Cauchy and Schwarz a query then
 needs only the blocks whose norms, times its own, pass that score; pairs of blocks that no query needs are never made. Within a pair
-of blocks the rows lie dimension by dimension: scores are accumulated a few dimensions at a time, after each step the product of the
-norms of what is left of query and row bounds the rest, and rows that cannot reach the k-th best are dropped and the others compacted.
+of blocks the rows lie dimension by dimension: the scores of some queries are accumulated a few dimensions at a time, after each step
+the product of the norms of what is left of query and row bounds the rest, and rows that can reach the k-th best of none of these
+queries are dropped and the others compacted.
 
 Vectors that are null, empty, or hold a null or non-finite component, and rows without an id take no part. Only vectors of the same
 length are compared. Ties go to the smaller id. Rows that repeat an id are separate candidates, but never of a query with that id; a
@@ -25,9 +26,11 @@ from quern.session import checkpointed, ship
 
 #: Dimensions of a step, norm classes to an octave, and those that queries are sorted into by what they need.
 STEP, CLASSES, COARSE = 8, 16, 4
-#: Most bytes of a block of rows and of one of queries, fewest rows and queries of a block, blocks that a table has at least if it can,
-#: and rows by which every query is tried first.
-ROW_BYTES, QUERY_BYTES, FEW_ROWS, FEW_QUERIES, BLOCKS, FIRST = 16 << 20, 4 << 20, 256, 64, 16, 1024
+#: Queries that are worked on together.
+TOGETHER = 64
+#: Most bytes of a block of rows and of one of queries, fewest rows of a block, blocks that a table has at least if it can, and rows by
+#: which every query is tried first. Blocks of queries are as large as they may be, as the rows are sent to each of them.
+ROW_BYTES, QUERY_BYTES, FEW_ROWS, BLOCKS, FIRST = 16 << 20, 4 << 20, 256, 16, 1024
 LONG = 1 << 63
 
 
@@ -52,40 +55,50 @@ def best(queries: np.ndarray, q_ids: np.ndarray, reached: np.ndarray, rows: np.n
     with np.errstate(over="ignore", invalid="ignore"):
         order = np.argsort(-np.square(rows).sum(axis=0), kind="stable")  # heavy dimensions first
         tall = np.ascontiguousarray(rows.T[order])
-        steps = range(0, len(order), STEP)
-        mass = np.sqrt(np.array([np.square(tall[at + STEP :]).sum(axis=0) for at in steps]))
-        turned = queries[:, order]
-        start = turned[:, :STEP] @ tall[:STEP]
+        mass = np.sqrt(np.array([np.square(tall[at + STEP :]).sum(axis=0) for at in range(0, len(order), STEP)]))
         error = max(2.0**-50, len(order) * 2.0**-52) * np.sqrt(np.square(queries).sum(axis=1)) * np.sqrt(np.square(rows).sum(axis=1).max())
-    out: tuple[list, list, list] = ([], [], [])
-    for n, (q, own, scores) in enumerate(zip(turned, q_ids, start, strict=True)):
-        left = None if not (ids == own).any() else np.flatnonzero(ids != own)
-        score = scores if left is None else scores[left]
-        reach = reached[n]
-        for s, at in enumerate(steps if np.isfinite(error[n]) else ()):
-            if at:
-                block = tall[at : at + STEP]
-                score = score + q[at : at + STEP] @ (block if left is None else block[:, left])
-            if not len(score):
-                break
-            slack = float(np.sqrt(np.square(q[at + STEP :]).sum())) * (mass[s] if left is None else mass[s][left]) + error[n]
-            if len(score) > k:
-                low = score - slack
-                reach = max(reach, np.partition(low, len(low) - k)[len(low) - k])
-            stay = score + slack >= reach
-            if stay.sum() < 0.9 * len(stay) or at + STEP >= len(order):
-                score, left = score[stay], np.flatnonzero(stay) if left is None else left[stay]
-        names = ids if left is None else ids[left]
-        if error[n] < 0.5:
-            whole = np.rint(score).astype(np.int64)
-        else:
-            whole = np.array(_exactly(queries[n], rows if left is None else rows[left]), np.int64)
-        top = np.lexsort((names, ~whole))[:k]  # ~ turns the order around, also of the smallest number
-        for part, values in zip(out, (np.full(len(top), n), names[top], whole[top]), strict=True):
-            part.append(values)
+        out: tuple[list, list, list] = ([], [], [])
+        for at in range(0, len(queries), TOGETHER):
+            some = slice(at, at + TOGETHER)
+            left, score, stay = _survivors(queries[some][:, order], q_ids[some], reached[some], error[some], tall, mass, ids, k)
+            for n in range(len(stay)):
+                own = np.flatnonzero(stay[n])
+                if error[at + n] < 0.5:
+                    whole = np.rint(score[n, own]).astype(np.int64)
+                else:
+                    whole = np.array(_exactly(queries[at + n], rows[left[own]]), np.int64)
+                names = ids[left[own]]
+                top = np.lexsort((names, ~whole))[:k]  # ~ turns the order around, also of the smallest number
+                for part, values in zip(out, (np.full(len(top), at + n), names[top], whole[top]), strict=True):
+                    part.append(values)
     return tuple(np.concatenate(x) if x else np.empty(0, np.int64) for x in out)
 
 
+def _survivors(queries: np.ndarray, q_ids: np.ndarray, reach: np.ndarray, error: np.ndarray, tall: np.ndarray, mass: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the rows that any of the queries cannot do without, their scores, and which of them each query needs.
+
+    The k-th best lower bound of every query is found anew at half of the dimensions, at three quarters, and at the end.
+    """
+    steps = len(mass)
+    known = np.isfinite(error)
+    reach = np.where(known, reach, -np.inf)
+    left, score, own = np.arange(tall.shape[1]), np.zeros((len(queries), tall.shape[1])), q_ids[:, None] == ids[None, :]
+    for s in range(steps):
+        at = s * STEP
+        block = tall[at : at + STEP]
+        score += queries[:, at : at + STEP] @ (block if len(left) == len(ids) else block[:, left])
+        slack = np.sqrt(np.square(queries[:, at + STEP :]).sum(axis=1))[:, None] * mass[s][left][None, :] + error[:, None]
+        if len(left) > k and s + 1 in (steps // 2, 3 * steps // 4, steps):
+            low = np.where(own, -np.inf, score - slack)
+            reach = np.where(known, np.maximum(reach, np.partition(low, len(left) - k, axis=1)[:, len(left) - k]), reach)
+        stay = (score + slack >= reach[:, None]) | ~known[:, None]
+        stay &= ~own
+        alive = stay.any(axis=0)
+        if alive.sum() < 0.9 * len(left) or s + 1 == steps:
+            left, score, own, stay = left[alive], score[:, alive], own[:, alive], stay[:, alive]
+    return left, score, stay
+
+
 def _dealt(vectors: DataFrame, is_query: Column, scale: int, key: str, vector: str) -> DataFrame:
     """(dims, class, part, first, row, id, asks, norm, v) of every row that takes part, each in one block of one class of norms."""
     v = F.col(vector)
@@ -108,7 +121,7 @@ def _dealt(vectors: DataFrame, is_query: Column, scale: int, key: str, vector: s
 def _query_blocks(asked: DataFrame, *by: str) -> DataFrame:
     """asked with `turn`, a block of queries within by."""
     counts = asked.groupBy("dims", *by).agg(F.count("*").alias("n"))
-    per = F.least(F.greatest(F.lit(QUERY_BYTES) / (8 * F.col("dims")), F.lit(1)), F.greatest(F.lit(FEW_QUERIES), F.sum("n").over(Window.partitionBy("dims")) / BLOCKS))
+    per = F.greatest(F.lit(QUERY_BYTES) / (8 * F.col("dims")), F.lit(1))
     sized = counts.withColumn("turns", F.ceil(F.col("n") / F.ceil(per))).drop("n")
     return asked.join(sized, ["dims", *by]).withColumn("turn", F.pmod(F.xxhash64("row"), F.col("turns")).cast("int"))
 
