@@ -4,14 +4,15 @@ The counts of 5-grams of bytes are a table, five bytes packed into a long; the c
 discounts, the totals of contexts and the probabilities come from it by aggregations and equality joins on contexts and
 suffixes. All trusted text is counted, and the tables grow with it.
 
-For scoring, the model is cut into shards by the last two bytes of the context, which every order above two that a byte needs
-shares. A shard has at most SHARD rows, or the 2**24 that a single pair of bytes may have; shards are broadcast one after the
-other, and each pass over the documents adds up the logarithms of the bytes that belong to the shard. While the model fits
-one shard there is one pass. So neither side of this join is shuffled, and memory is bounded at every size.
+For scoring, the model is cut into shards, ranges of the last two bytes of the context, which every order above two that a byte needs
+shares. Ranges are chosen by the counts of their rows, so that a shard has at most SHARD rows, or those of a single pair of bytes, which
+are at most 2**24. Shards are joined with the documents one after the other: a shard is sent to the executors, a pass over the documents
+adds up the logarithms of the bytes that belong to it, the sums are written, and the shard goes. While the model fits one shard there
+is one pass. So the documents' counts are never shuffled, and memory is bounded by the largest shard.
 
-A document is kept if its perplexity is no more than a limit of its language: a high quantile among trusted documents that the
-model was not trained on, plus a share of that quantile's distance from the median. Languages with few of these, and documents
-without a language, take the limit over all of them. Means are smoothed, since short texts vary more.
+A document is kept if its perplexity is no more than the limit of its language: the QUANTILE among trusted documents of that language
+that the model was not trained on. Documents of languages without any, and those without a language, take the quantile over all of
+them. Means are smoothed, since short texts vary more.
 
 Null and empty texts have no perplexity and are not kept. Without trusted text every byte is equally likely, and there is no
 limit. Repeated rows are scored alike; each counts as trusted text if its label says so.
@@ -32,11 +33,11 @@ from quern.session import checkpointed, ship
 
 ORDER = 5
 PAD = b"\n" * (ORDER - 1)
-#: Rows of the model that are broadcast at once, and distinct 5-grams that a counting task holds before it emits them.
+#: Rows of the model that are sent at once, and distinct 5-grams that a counting task holds before it emits them.
 SHARD, HELD = 1_500_000, 1_000_000
 #: Trusted keys up to which they, and not the texts, are sent to find the trusted texts.
 FEW_KEYS = 500_000
-QUANTILE, SLACK, LEAST = 0.995, 0.5, 50
+QUANTILE = 0.995
 #: Bytes with the mean of trusted text that are added to every document's mean.
 SMOOTHING = 100
 
@@ -178,10 +179,21 @@ class Shard:
 _shards: dict[str, Shard] = {}
 
 
-def _shard_of(shards: int) -> Column:
-    """The shard of a row of the model, by the last two bytes of its context; null for rows that all shards have."""
+def _pair() -> Column:
+    """The last two bytes of the context of a row of the model; null for rows that all shards have."""
     pair = F.when(F.col("back"), F.col("gram")).otherwise(F.shiftright("gram", 8)).bitwiseAND(F.lit(0xFFFF))
-    return F.when(F.col("length") >= F.when(F.col("back"), 2).otherwise(3), F.pmod(F.xxhash64(pair), F.lit(shards)))
+    return F.when(F.col("length") >= F.when(F.col("back"), 2).otherwise(3), pair)
+
+
+def shard_ranges(counts: dict[int, int], most: int) -> list[tuple[int, int]]:
+    """Ranges of pairs, which cover all of them, with at most `most` rows each; a pair that has more is a range of its own."""
+    cuts, held = [0], 0
+    for pair in sorted(counts):
+        if held and held + counts[pair] > most:
+            cuts.append(pair)
+            held = 0
+        held += counts[pair]
+    return list(zip(cuts, [*cuts[1:], 1 << 16], strict=True))
 
 
 def _collected(part: DataFrame) -> dict[tuple[int, bool], tuple[np.ndarray, np.ndarray]]:
@@ -192,16 +204,18 @@ def _collected(part: DataFrame) -> dict[tuple[int, bool], tuple[np.ndarray, np.n
 
 
 def sums(docs: DataFrame, known: DataFrame, key: str, text: str, carry: tuple[str, ...] = (), most: int = SHARD) -> DataFrame:
-    """key, the columns in carry, `n_bytes` and `log`, the sum of the logarithms, of every row."""
-    shards = max(1, -(-known.count() // most))
-    placed = known.withColumn("shard", _shard_of(shards))
-    pairs = np.array([r[0] for r in docs.sparkSession.range(1 << 16).orderBy("id").select(F.pmod(F.xxhash64("id"), F.lit(shards))).collect()]) if shards > 1 else None
+    """key, the columns in carry, `n_bytes` and `log`, the sum of the logarithms, of every row.
+
+    A carried column that is called like one of these is left out.
+    """
+    placed = known.withColumn("pair", _pair())
+    counts = {r["pair"]: r["count"] for r in placed.filter("pair is not null").groupBy("pair").count().collect()}
+    shards = shard_ranges(counts, most)
     passes = []
-    for s in range(shards):
-        sent = docs.sparkSession.sparkContext.broadcast(_collected(placed.filter(F.col("shard").isNull() | (F.col("shard") == s))))
-        mine = None if shards == 1 else pairs == s
+    for low, high in shards:
+        sent = docs.sparkSession.sparkContext.broadcast(_collected(placed.filter(F.col("pair").isNull() | ((F.col("pair") >= low) & (F.col("pair") < high)))))
 
-        def work(texts: list[str | None], sent=sent, mine=mine, name=uuid4().hex) -> list[list]:
+        def work(texts: list[str | None], sent=sent, low=low, high=high, name=uuid4().hex) -> list[list]:
             if name not in _shards:
                 _shards.clear()
                 _shards[name] = Shard(sent.value)
@@ -211,25 +225,30 @@ def sums(docs: DataFrame, known: DataFrame, key: str, text: str, carry: tuple[st
             ends = np.concatenate([[0], np.cumsum(lengths)])
             for at in range(0, len(g), 1 << 20):
                 part = g[at : at + (1 << 20)]
-                if mine is None:
+                if high - low == 1 << 16:
                     logs = shard.logs(part)
                 else:
-                    logs, own = np.zeros(len(part)), mine[part >> 8 & 0xFFFF]
+                    pair = part >> 8 & 0xFFFF
+                    own = (pair >= low) & (pair < high)
+                    logs = np.zeros(len(part))
                     logs[own] = shard.logs(part[own])
                 whole = np.concatenate([[0.0], np.cumsum(logs)])
                 cut = np.clip(ends - at, 0, len(part))
                 total += whole[cut[1:]] - whole[cut[:-1]]
             return [lengths.tolist(), total.tolist()]
 
-        passes.append(by_rows(docs, [text], [key, *carry], work, "n_bytes long, log double"))
-    if shards == 1:
-        return passes[0]
+        done = by_rows(docs, [text], [key, *carry], work, "n_bytes long, log double")
+        if len(shards) == 1:
+            return done
+        passes.append(checkpointed(done))
+        sent.unpersist()
     out = passes[0]
     for p in passes[1:]:
         out = out.union(p)
     # Rows that are equal in every column are added up together, and dealt out again.
-    added = out.groupBy(key, *carry, "n_bytes").agg((F.sum("log") * shards / F.count("*")).alias("log"), F.expr(f"count(*) div {shards}").alias("copies"))
-    return added.select(key, *carry, "n_bytes", "log", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).drop("col")
+    names = [c for c in out.columns if c != "log"]
+    added = out.groupBy(*names).agg((F.sum("log") * len(shards) / F.count("*")).alias("log"), F.expr(f"count(*) div {len(shards)}").alias("copies"))
+    return added.select(*out.columns, F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).drop("col")
 
 
 def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", quality: str = "quality", most: int = SHARD) -> DataFrame:
@@ -252,10 +271,10 @@ def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     centre = -typical[0] / typical[1] if typical[1] else 0.0
     smooth = F.round((F.col("mean") * F.col("n_bytes") + centre * SMOOTHING) / (F.col("n_bytes") + SMOOTHING), 3)
     # Rounded, so that the exact quantiles need a bounded number of distinct values.
-    spread = lambda c: (F.percentile(c, F.lit(QUANTILE)) + SLACK * (F.percentile(c, F.lit(QUANTILE)) - F.percentile(c, F.lit(0.5)))).alias("limit")
+    quantile = F.percentile("smooth", F.lit(QUANTILE)).alias("limit")
     rounded = judges.withColumn("smooth", smooth)
-    by_lang = rounded.filter("lang is not null").groupBy("lang").agg(spread("smooth"), F.count("*").alias("n")).filter(F.col("n") >= LEAST).select(F.col("lang").alias("its_lang"), "limit")
-    general = rounded.agg(spread("smooth")).first()[0]
+    by_lang = rounded.filter("lang is not null").groupBy(F.col("lang").alias("its_lang")).agg(quantile)
+    general = rounded.agg(quantile).first()[0]
     out = both.withColumn("smooth", smooth).join(by_lang, F.col("lang") == F.col("its_lang"), "left")
     limit = F.coalesce("limit", F.lit(general).cast("double"), F.lit(float("inf")))
     return out.select(F.col("key").alias(key), F.col("lang").alias(lang), "n_bytes", F.exp("mean").alias("perplexity"), F.exp(limit).alias("limit"), F.coalesce(F.col("smooth") <= limit, F.lit(False)).alias("kept"))
