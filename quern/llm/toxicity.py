@@ -1,12 +1,13 @@
 """Toxicity by FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
 Features of a text are its words, pairs of neighbours and pairs with one word between them, hashed to 2**BITS places; each
-counts once. Training passes over at most MOST_TRAINING labelled rows, chosen by hash, a few times. Every place has its own
-learning rate, and the L1 penalty keeps most weights at exactly zero, so the model that is broadcast is a short list.
+counts once. Training passes over at most MOST_TRAINING labelled rows, chosen by hash, a few times; of these the first that have
+MOST_PLACES features together, so that the driver's memory is bounded however long texts are. Every place has its own learning rate, and the L1 penalty keeps most weights at exactly zero, so the model that is broadcast is a short list.
 
 Null and empty texts have no features and get the score of the intercept, like any text without a weighted feature. Without
-labels all weights are zero. Labels that are null are left out; a document that is labelled twice counts twice. Rows are
-scored one by one.
+labels all weights are zero. Labels that are null are left out; a document that is labelled 0 and 1 counts as both. Where a labelled
+key names several rows, one of them is learned from: that whose text has the smallest hash. Rows are scored one by one; a carried
+column called `score` is left out.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from quern.llm.text import by_rows
 
 BITS = 22
-MOST_TRAINING = 12_000
+MOST_TRAINING, MOST_PLACES = 12_000, 32_000_000
 ALPHA, BETA, L1, L2 = 8.0, 1.0, 8.0, 0.0
 PASSES = 10
 #: Weight of a toxic row; there are fewer of them, and they are what is looked for.
@@ -106,18 +107,25 @@ def ftrl(rows: list[tuple[np.ndarray, int]], passes: int = PASSES) -> Model:
     return Model(places, weights, -z0 * ALPHA / (BETA + math.sqrt(n0)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", label: str = "toxic", most: int = MOST_TRAINING) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", label: str = "toxic", most: int = MOST_TRAINING, places: int = MOST_PLACES) -> Model:
     """Learns from the labelled rows for which learn, a condition on the labels' key, holds.
 
-    The labels are limited to `most` before they are broadcast to the texts, and only the features of those rows, at most
-    2**BITS places each, are collected.
+    The labels are limited to `most` before they are broadcast to the texts. Features reach the driver one partition after the other,
+    in the order in which they are learned from, and only the first `places` of them.
     """
-    known = labels.filter(learn & F.col(label).isNotNull()).select(F.col(key).alias("key"), F.col(label).cast("int").alias("label"))
-    picked = known.orderBy(F.xxhash64(F.lit("toxicity"), "key"), "key", "label").limit(most)
-    texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).filter("key is not null").join(F.broadcast(picked), "key")
-    rows = by_rows(texts, ["text"], ["key", "label"], lambda t: [[np.unique(features(x)).astype("<u4").tobytes() for x in t]], "places binary")
-    got = sorted(rows.collect(), key=lambda r: (hash_order(r["key"]), r["label"], r["places"]))
-    return ftrl([(np.frombuffer(r["places"], "<u4").astype(np.int64), r["label"]) for r in got])
+    known = labels.filter(learn & F.col(label).isNotNull()).select(F.col(key).alias("key"), F.col(label).cast("int").alias("label")).distinct()
+    turn = F.xxhash64(F.lit("toxicity"), F.col("key"))
+    picked = known.filter("key is not null").orderBy(turn, "key", "label").limit(most)
+    texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(picked), "key")
+    once = texts.groupBy("key", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    rows = by_rows(once, ["text"], ["key", "label"], lambda t: [[np.unique(features(x)).astype("<u4").tobytes() for x in t]], "places binary")
+    got, held = [], 0
+    for r in rows.orderBy(turn, "key", "label").toLocalIterator():
+        held += len(r["places"]) // 4
+        if got and held > places:
+            break
+        got.append((hash_order(r["key"]), r["label"], r["places"]))
+    return ftrl([(np.frombuffer(p, "<u4").astype(np.int64), label) for _, label, p in sorted(got)])
 
 
 def hash_order(key: object) -> int:
