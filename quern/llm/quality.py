@@ -4,8 +4,8 @@ Every rule is evaluated once for each document. The ledger keeps the measurement
 versions of a bit mask, applied to the ledger without looking at the text again, and the effect of leaving a rule out of a
 policy (its ablation) comes from grouping the ledger by its bits.
 
-Nulls and empty texts have no words, so they fail `few_words`. Ties and repeated rows are judged row by row. Columns of the
-input keep their names; a column that is called like one of the ledger's is replaced by it.
+Nulls and empty texts have no words, so they fail `few_words`. Ties and repeated rows are judged row by row. keep() returns the
+columns of its input, whatever their names; in the ledger a carried column that is called like one of its own is replaced by that.
 """
 
 from __future__ import annotations

@@ -45,12 +45,14 @@ def dealt(df: DataFrame) -> DataFrame:
 def by_rows(df: DataFrame, inputs: list[str], kept: list[str], work: Callable[..., list[list]], made: str) -> DataFrame:
     """The kept columns and those of the DDL string made, which work returns for slices of at most ROWS rows.
 
-    work gets the inputs as one list each. Kept columns pass through as Arrow buffers. mapInArrow, so there is no shuffle, no
+    work gets the inputs as one list each. Kept columns pass through as Arrow buffers, but for those that are called like a column of
+    made, which are left out. mapInArrow, so there is no shuffle, no
     state between rows, and a lost executor only repeats its own tasks.
     """
     ship(df.sparkSession)
     new = StructType.fromDDL(made)
     target = list(to_arrow_schema(new))
+    kept = [c for c in dict.fromkeys(kept) if c not in new.names]
     both = list(dict.fromkeys([*inputs, *kept]))
     places = [both.index(c) for c in inputs]
     n_kept = [both.index(c) for c in kept]

@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -303,11 +304,61 @@ def test_classifier_of_odd_documents(spark, odd_docs, no_docs, odd_rows):
     assert got.columns == ["doc_id", "lang", "n_bytes", "perplexity", "limit", "kept"] and got.count() == len(odd_rows)
     rows = got.collect()
     assert all((r.perplexity is None) == (r.n_bytes == 0) and (r.n_bytes or not r.kept) for r in rows)
-    assert sum(r.kept for r in rows if r.doc_id in range(20, 60)) == 40
+    taught = [r for r in rows if r.doc_id in range(20, 60) and zlib.crc32(str(r.doc_id).encode()) % 5]
+    assert all(r.kept for r in taught) or sum(r.kept for r in taught) >= 0.8 * len(taught)
     assert perplexity.classify(no_docs, labels).count() == 0
     assert perplexity.classify(odd_docs, labels.limit(0)).filter("n_bytes > 0 and not kept").count() == 0
 
 
+def test_limits_are_the_quantiles_of_held_out_trusted_documents(spark):
+    """limit and kept of every row against brute force."""
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choice(("one", "two", "three", "four", "five")) for _ in range(rng.randrange(3, 40))), rng.choice(("en", "de", None))) for i in range(150)]
+    rows += [(200, "zq xj kv wq" * 9, "en"), (201, None, "en"), (202, "only one of its kind", "xx")]
+    good = [i for i in range(0, 150, 2)]
+    labels = spark.createDataFrame([(i, 1) for i in good] + [(1, 0), (3, None)], "doc_id long, quality int")
+    got = {r.doc_id: r for r in perplexity.classify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), labels).collect()}
+    held = {i for i in good if zlib.crc32(str(i).encode()) % 5 == 0}
+    log = brute_model([t for i, t, _ in rows if i in set(good) - held])
+    logs = {i: (log((t or "").encode()), len((t or "").encode()), lang) for i, t, lang in rows}
+    centre = -sum(logs[i][0] for i in held) / sum(logs[i][1] for i in held)
+    smooth = {i: round((-x + centre * perplexity.SMOOTHING) / (n + perplexity.SMOOTHING), 3) for i, (x, n, _) in logs.items() if n}
+    limit = lambda ids: float(np.quantile([smooth[i] for i in ids], perplexity.QUANTILE))
+    for i, (x, n, lang) in logs.items():
+        own = [j for j in held if logs[j][2] == lang] if lang else []
+        want = limit(own or held)
+        assert abs(math.log(got[i].limit) - want) < 2e-3 and (got[i].perplexity is None) == (n == 0)
+        if n and abs(smooth[i] - want) > 4e-3:
+            assert got[i].kept == (smooth[i] <= want) and abs(got[i].perplexity - math.exp(-x / n)) < 1e-3 * got[i].perplexity
+    assert not got[200].kept and not got[201].kept
+
+
+def test_shards_are_ranges_of_bounded_counts():
+    rng = random.Random(8)
+    counts = {p: rng.choice((1, 5, 900)) for p in rng.sample(range(1 << 16), 3000)}
+    ranges = perplexity.shard_ranges(counts, 1000)
+    assert ranges[0][0] == 0 and ranges[-1][1] == 1 << 16 and all(a[1] == b[0] for a, b in zip(ranges, ranges[1:]))
+    assert all(sum(n for p, n in counts.items() if lo <= p < hi) <= 1000 for lo, hi in ranges)
+    assert perplexity.shard_ranges({}, 10) == [(0, 1 << 16)] and perplexity.shard_ranges({7: 50, 9: 50}, 10) == [(0, 9), (9, 1 << 16)]
+
+
+# Columns that are called like computed ones
+
+
+def test_carried_columns_that_clash_are_replaced(spark, odd_docs, clashing):
+    def one(df, *names):
+        assert all(df.columns.count(n) == 1 for n in names) and df.select(*names).count() == df.count()
+
+    one(quality.ledger(clashing, carry=("n_words", "fail_bits", "source")), "n_words", "fail_bits", "source")
+    one(langid.classify(clashing, langid.fit(odd_docs, F.lit(True)), carry=("score", "lang")), "score", "lang")
+    one(simhash.fingerprints(clashing, carry=("fp", "lang")), "fp", "lang")
+    one(bpe.encode(clashing, PATH, PATTERN, carry=("ids", "n_tokens", "lang")), "ids", "n_tokens", "lang")
+    one(toxicity.score(clashing, toxicity.ftrl([]), carry=("score", "lang")), "score", "lang")
+    one(lines.dedup(clashing.withColumn("n_removed", F.lit("x"))), "n_removed", "n_lines", "lines")
+    known = perplexity.model(spark.createDataFrame([("some text",)], "text string"), "text")
+    one(perplexity.sums(clashing.withColumn("log", F.lit("x")), known, "doc_id", "text", ("log", "lang")), "log", "lang")
+
+
 # Mixing
 
 
@@ -367,6 +418,13 @@ def test_long_passages_of_few_lines_go(spark):
     assert got == {1: docs[0][1], 2: "c", 3: docs[2][1], 4: "f", 5: short, 6: short, 7: ""}
 
 
+def test_three_line_windows_alone(spark):
+    one = " ".join(f"w{i}" for i in range(51))
+    docs = [(1, f"a\n{one}\nb"), (2, f"c\n{one}"), (3, f"a\n{one}\nb\nd"), (4, one)]
+    got = {r.doc_id: r.text for r in lines.dedup(spark.createDataFrame(docs, "doc_id long, text string"), long_words=None).collect()}
+    assert got == {1: docs[0][1], 2: docs[1][1], 3: "d", 4: one}
+
+
 def test_lines_of_odd_documents(clashing, odd_docs, odd_rows, no_docs):
     out = lines.dedup(clashing, bare=True)
     assert out.columns == clashing.columns and out.count() == len(odd_rows)
@@ -433,6 +491,54 @@ def test_no_language_is_left_out_silently(spark):
         langid.fit(rows, F.lit(True), most=16)
 
 
+def test_a_labelled_key_of_many_rows_is_learned_from_once(spark):
+    docs = spark.createDataFrame([(1, f"bad words {i % 7}") for i in range(500)] + [(i, "good words") for i in range(2, 30)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 1)] + [(i, 0) for i in range(2, 30)], "doc_id long, toxic int")
+    once = docs.filter("doc_id > 1").union(docs.filter("doc_id = 1").orderBy(F.xxhash64("text")).limit(1))
+    for most, places in ((1000, 10**6), (10, 10**6), (1000, 20)):
+        a, b = (toxicity.fit(d, labels, F.lit(True), most=most, places=places) for d in (docs, once))
+        assert a.intercept == b.intercept and (a.places == b.places).all() and (a.weights == b.weights).all()
+
+
+def test_toxicity_learns_planted_words(spark):
+    """Held-out accuracy on rows whose label is known by construction."""
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(900):
+        own = [rng.choice(words) for _ in range(30)]
+        if i % 4 == 0:
+            own[rng.randrange(28)] = "vile"
+        rows.append((i, " ".join(own)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(900)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels, F.col("doc_id") < 600)
+    got = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    held = [(got[i], i % 4 == 0) for i in range(600, 900)]
+    assert all((s > 0.5) == bad for s, bad in held) and len(model.places) < 200
+
+
+def test_languages_by_brute_force(spark):
+    """Every prediction is the nearest centroid's, computed here by the definition; what is far from all of them is rejected."""
+    rng = random.Random(2)
+    alphabets = {"aa": "abcde", "bb": "fghij", "cc": "abcij"}
+    rows = [(i, " ".join("".join(rng.choice(a) for _ in range(5)) for _ in range(30)), k) for i, (k, a) in enumerate(list(alphabets.items()) * 40)]
+    docs = spark.createDataFrame([*rows, (500, "qqqq wwww zzzz vvvv " * 5, None)], "doc_id long, text string, lang string")
+    model = langid.fit(docs.filter("doc_id < 90"), F.lit(True))
+    frequency = Counter()
+    for i, t, _ in rows[:90]:
+        frequency.update(np.flatnonzero(langid.counts(t)).tolist())
+    for r in langid.classify(docs, model).collect():
+        text = rows[r.doc_id][1] if r.doc_id < 500 else "qqqq wwww zzzz vvvv " * 5
+        v = np.zeros(langid.SIZE)
+        for g in np.flatnonzero(langid.counts(text)):
+            v[g] = (1 + math.log(langid.counts(text)[g])) * (math.log((1 + 90) / (1 + frequency[g])) + 1)
+        near = model.centroids @ (v / np.linalg.norm(v))
+        assert r.lang_pred == model.languages[model.owner[int(near.argmax())]] and abs(r.score - max(0, near.max())) < 1e-4
+        assert r.rejected == (near.max() < model.limit[int(near.argmax())])
+        assert (r.lang_pred == rows[r.doc_id][2] and not r.rejected) if r.doc_id < 90 else r.doc_id < 500 or r.rejected
+
+
 def licenses_of(text):
     return [(h[2], h[6]) for h in licences.match(text)]
 
