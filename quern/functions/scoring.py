@@ -30,3 +30,14 @@ class Bm25:
     def query_weight(self, df: Column, n_docs: int) -> Column:
         rarity = F.ln((F.lit(float(n_docs)) - df + 0.5) / (df + 0.5))
         return F.greatest(F.lit(self.floor), rarity) * (1 + self.k1)
+
+
+@dataclass(frozen=True)
+class TfIdf:
+    """Damped frequencies, cut down for long documents, times the logarithm of how rare a term is."""
+
+    def doc_weight(self, freq: Column, norm_len: Column) -> Column:
+        return (1 + F.ln(freq.cast("double"))) / F.sqrt(norm_len)
+
+    def query_weight(self, df: Column, n_docs: int) -> Column:
+        return F.ln(1 + F.lit(float(n_docs)) / df)

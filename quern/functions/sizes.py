@@ -6,6 +6,7 @@ Everything is integer arithmetic; no floating logarithm decides a bit width.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -78,15 +79,18 @@ def strict_bits(universe: Column, n: Column) -> Column:
     return F.coalesce(all_ones_bits(universe, n), best + TYPE)
 
 
-def indexed_bits_of(universe: int, n: int) -> int:
-    """indexed_bits() of plain numbers, for the partitioner."""
-    if universe == n:
-        return 0
-    low = (universe // n).bit_length() - 1 if universe > n else 0
+def digits(x: np.ndarray) -> np.ndarray:
+    """Binary digits of numbers below 2**53; 0 for 0."""
+    return np.frexp(x.astype(np.float64))[1].astype(np.int64)
+
+
+def indexed_bits_of_all(universe: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """indexed_bits() of arrays, for the partitioner."""
+    low = np.where(universe > n, digits(universe // n) - 1, 0)
     high = n + (universe >> low) + 2
-    fano = (((high - n) >> ZEROS) + (n >> ONES)) * (high - 1).bit_length() + high + n * low
-    ranked = (universe >> RANKS) * n.bit_length() + (n >> ONES) * (universe - 1).bit_length() + universe
-    return min(fano, ranked) + TYPE
+    fano = (((high - n) >> ZEROS) + (n >> ONES)) * digits(high - 1) + high + n * low
+    ranked = (universe >> RANKS) * digits(n) + (n >> ONES) * digits(universe - 1) + universe
+    return np.where(universe == n, 0, np.minimum(fano, ranked) + TYPE)
 
 
 def read_unit(length: Column, fixed: int | None = None) -> Column:

@@ -16,6 +16,8 @@ from quern.functions.scoring import Bm25, Scorer
 from quern.functions.sizes import vbyte_bytes
 
 BLOCK, SHARDS, K = 128, 8, 10
+#: Neighbouring document numbers of a cell, the unit in which ranked queries skip documents.
+CELL = 16
 TOKEN = r"[^\p{L}\p{N}]+"
 #: Bytes of a part, and the size from which on an estimate is none.
 PART, UNKNOWN = 64 << 20, 1 << 60
@@ -70,6 +72,11 @@ class Index:
     def n_docs(self) -> int:
         return self._facts[0]
 
+    @property
+    def universe(self) -> int:
+        """The number after the last document's."""
+        return self._facts[3] + 1
+
     @property
     def lengths(self) -> DataFrame:
         """docs with `norm_len`, the length relative to the mean over all documents."""
@@ -90,6 +97,13 @@ class Index:
         self.docs = self.docs.persist()
         return self
 
+    def drop(self) -> None:
+        """Lets go of what keep() holds."""
+        self.held = False
+        for name in ("weighted", "docs", "terms", "blocks", "cells"):
+            if name in self.__dict__:
+                self.__dict__[name].unpersist()
+
     def only(self, wanted: DataFrame) -> Index:
         """The collection's lists of the terms in wanted(term); documents, lengths and shards stay those of the whole.
 
@@ -102,6 +116,7 @@ class Index:
         if self.held:
             part.terms = self.terms.join(terms, "term", "left_semi")
             part.blocks = self.blocks.join(terms, "term", "left_semi")
+            part.cells = self.cells.join(terms, "term", "left_semi")
         return part
 
     def bounds(self) -> list[int]:
@@ -155,6 +170,12 @@ class Index:
         )
         return rows.persist() if self.held else rows
 
+    @cached_property
+    def cells(self) -> DataFrame:
+        """(term, cell, max_weight): the largest weight of a term among the documents of a cell."""
+        rows = self.weighted.groupBy("term", F.expr(f"doc_id div {CELL}").alias("cell")).agg(F.max("weight").alias("max_weight"))
+        return rows.persist() if self.held else rows
+
     def kth_weights(self, by_shard: bool = False, k: int | None = None) -> DataFrame:
         """The k-th largest weight of each term (and shard); terms with fewer postings have none."""
         keys = ["term", "shard_id"] if by_shard else ["term"]
@@ -196,12 +217,19 @@ def from_tokens(found: DataFrame, **more) -> Index:
     return Index(postings, postings.groupBy("doc_id").agg(F.sum("freq").alias("len")), **more)
 
 
-def balanced_cuts(index: Index, shards: int = SHARDS, accuracy: int = 10_000) -> list[int]:
-    """Bounds of shards with about equally many postings."""
+def balanced_cuts(index: Index, shards: int = SHARDS) -> list[int]:
+    """Bounds of shards with about equally many postings: shard f begins with the first document before which lie f parts of them.
+
+    A row for each shard reaches the driver.
+    """
+    from quern.operators.schedule import running_total
+
+    own = running_total(index.postings.groupBy("doc_id").agg(F.count("*").alias("n")), [F.col("doc_id")], "n", "before")
+    total = index.postings.count()
+    turns = own.select("doc_id", F.explode(F.filter(F.array(*map(F.lit, range(1, shards))), lambda f: F.col("before") * shards >= f * F.lit(total))).alias("f"))
+    got = turns.groupBy("f").agg(F.min("doc_id").alias("lo")).collect()
     _, _, least, most = index._facts
-    inner = [f / shards for f in range(1, shards)]
-    got = index.postings.agg(F.percentile_approx("doc_id", inner, accuracy)).first()[0] or []
-    return [least, *sorted(set(got) - {least}), most + 1]
+    return [*sorted({least, *(r["lo"] for r in got)}), most + 1]
 
 
 def invalid_postings(postings: DataFrame) -> DataFrame:
@@ -211,17 +239,32 @@ def invalid_postings(postings: DataFrame) -> DataFrame:
 
 
 def next_geq(index: Index, probes: DataFrame) -> DataFrame:
-    """For each probe (term, lower): the first document of the list that is not below lower, its place, and null at the end."""
-    met = probes.join(index.positioned.select("term", "doc_id", "ordinal"), "term").filter("doc_id >= lower")
+    """For each probe (term, lower): the first document of the list that is not below lower, its place, and null at the end.
+
+    A probe reads the postings of one block.
+    """
+    at = covering_block(index, probes).select("term", "lower", "block_id")
+    met = at.join(index.positioned.select("term", "block_id", "doc_id", "ordinal"), ["term", "block_id"]).filter("doc_id >= lower")
     first = met.groupBy("term", "lower").agg(F.min(F.struct("doc_id", "ordinal")).alias("first"))
     return probes.join(first, ["term", "lower"], "left").select("term", "lower", F.col("first.doc_id").alias("doc_id"), F.col("first.ordinal").alias("ordinal"))
 
 
 def covering_block(index: Index, probes: DataFrame) -> DataFrame:
-    """For each probe (term, lower): the first block whose last document is not below lower, with its bound."""
-    met = probes.join(index.blocks.select("term", "block_id", "last_doc", "max_weight"), "term").filter("last_doc >= lower")
-    first = met.groupBy("term", "lower").agg(F.min(F.struct("block_id", "last_doc", "max_weight")).alias("first"))
-    return probes.join(first, ["term", "lower"], "left").select("term", "lower", "first.block_id", "first.last_doc", "first.max_weight")
+    """For each probe (term, lower): the first block whose last document is not below lower, with its bound.
+
+    The documents of a list are cut into as many even stretches as it has blocks. A block belongs to those that it reaches into, two on
+    average, and a probe meets the blocks of its own stretch.
+    """
+    order = Window.partitionBy("term").orderBy("block_id")
+    spans = index.blocks.select("term", "block_id", "last_doc", "max_weight", F.coalesce(F.lag("last_doc").over(order) + 1, "first_doc").alias("from"), "first_doc")
+    lists = spans.groupBy("term").agg(F.min("first_doc").alias("least"), F.max("last_doc").alias("most"), F.count("*").alias("n"))
+    lists = lists.select("term", "least", "most", F.expr("(most - least) div n + 1").alias("width"))
+    cell = lambda doc: F.expr(f"({doc} - least) div width")
+    reached = spans.join(lists, "term").select("term", "block_id", "last_doc", "max_weight", "from", F.explode(F.sequence(cell("from"), cell("last_doc"))).alias("cell"))
+    inside = probes.join(lists, "term").filter("lower <= most").withColumn("at", F.greatest("lower", "least"))
+    met = inside.withColumn("cell", cell("at")).join(reached, ["term", "cell"]).filter("at between `from` and last_doc")
+    first = met.select("term", "lower", "block_id", "last_doc", "max_weight").distinct()
+    return probes.join(first, ["term", "lower"], "left").select("term", "lower", "block_id", "last_doc", "max_weight")
 
 
 def shard_splits(index: Index) -> DataFrame:

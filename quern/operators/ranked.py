@@ -1,18 +1,21 @@
 """Ranked queries: the k documents with the largest scores.
 
-The strategies differ in how they find candidates; all of them give the rows of the exhaustive one. Scores are rounded to SCALE
-digits before they are ranked, so that the order of additions decides nothing, and ties go to the smaller document.
+The strategies differ in how they find candidates; all of them give the rows of the exhaustive one. Each first scores the few terms of
+a query that can add most, which are in few documents, and so has a score that k documents are sure to reach. Scores are rounded to
+SCALE digits before they are ranked, so that the order of additions decides nothing, and ties go to the smaller document.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.operators.index import Index
+from quern.operators.index import CELL, Index
 from quern.session import checkpointed
 
 SCALE, SLACK = 6, 1e-4
+#: Terms of a query, those with the largest bounds, whose scores raise its threshold.
+HEAD = 4
 
 
 def query_weights(index: Index, query_terms: DataFrame) -> DataFrame:
@@ -33,11 +36,13 @@ def theta(index: Index, query_terms: DataFrame) -> DataFrame:
     return best.select("qid", F.greatest(F.lit(0.0), F.col("best") - SLACK).alias("theta"))
 
 
-def score(index: Index, weights: DataFrame, candidates: DataFrame | None = None) -> DataFrame:
-    """(qid, doc_id, score, n_met) of the documents that hold a term; of the candidates (qid, doc_id) only, if given."""
-    met = index.weighted.join(weights.select("qid", "term", "qtf", "unit"), "term")
-    if candidates is not None:
-        met = met.join(candidates, ["qid", "doc_id"], "left_semi")
+def score(index: Index, weights: DataFrame) -> DataFrame:
+    """(qid, doc_id, score, n_met) of the documents that hold a term."""
+    return _summed(index.weighted.join(weights.select("qid", "term", "qtf", "unit"), "term"))
+
+
+def _summed(met: DataFrame) -> DataFrame:
+    """(qid, doc_id, score, n_met) of postings with the weights of query terms."""
     total = F.sum(F.col("unit") * F.col("weight") * F.col("qtf"))
     return met.groupBy("qid", "doc_id").agg(F.round(total, SCALE).alias("score"), F.count("*").alias("n_met"))
 
@@ -57,23 +62,46 @@ def running_bounds(weights: DataFrame, limits: DataFrame) -> DataFrame:
     return weights.join(limits, "qid").withColumn("running", F.sum("bound").over(order)).withColumn("essential", F.col("running") > F.col("theta"))
 
 
-def _wand(index: Index, weights: DataFrame, limits: DataFrame) -> DataFrame:
-    """Documents whose terms' bounds add up to more than theta."""
-    sums = index.postings.select("term", "doc_id").join(weights, "term").groupBy("qid", "doc_id").agg(F.sum("bound").alias("most"))
-    return sums.join(limits, "qid").filter("most > theta").select("qid", "doc_id")
+def raised(index: Index, weights: DataFrame, limits: DataFrame, k: int) -> DataFrame:
+    """limits with the k-th best sum of a query's HEAD terms where that is more: what other terms add is never negative."""
+    order = Window.partitionBy("qid").orderBy(F.col("bound").desc(), "term")
+    head = weights.withColumn("turn", F.row_number().over(order)).filter(F.col("turn") <= HEAD)
+    found = best(score(index, head), k).filter(F.col("rank") == k).select("qid", (F.col("score") - SLACK).alias("reached"))
+    return limits.join(found, "qid", "left").select("qid", F.greatest("theta", F.coalesce("reached", F.lit(0.0))).alias("theta"))
 
 
-def _maxscore(index: Index, weights: DataFrame, limits: DataFrame) -> DataFrame:
-    """Documents that hold an essential term."""
-    essential = running_bounds(weights, limits).filter("essential").select("qid", "term")
-    return index.postings.select("term", "doc_id").join(essential, "term").select("qid", "doc_id").distinct()
+def _by_cell(index: Index, weights: DataFrame, limits: DataFrame, bound: Column) -> DataFrame:
+    """Scores of the documents of those cells whose terms' bounds add up to more than theta; other cells' postings are not met."""
+    sums = index.cells.join(weights, "term").groupBy("qid", "cell").agg(F.sum(bound).alias("most"))
+    left = sums.join(limits, "qid").filter("most > theta").select("qid", "cell")
+    wanted = left.join(weights.select("qid", "term", "qtf", "unit"), "qid")
+    met = index.weighted.withColumn("cell", F.expr(f"doc_id div {CELL}")).join(wanted, ["term", "cell"])
+    return _summed(met)
+
+
+def _wand(index: Index, weights: DataFrame, limits: DataFrame) -> DataFrame:
+    """Bounds are those of whole lists."""
+    return _by_cell(index, weights.withColumnRenamed("bound", "own_bound"), limits, F.col("own_bound"))
 
 
 def _block_max(index: Index, weights: DataFrame, limits: DataFrame) -> DataFrame:
-    """Documents whose blocks' bounds add up to more than theta."""
-    blocks = index.blocks.select("term", "block_id", "max_weight").join(weights, "term").withColumn("block_bound", F.col("unit") * F.col("max_weight") * F.col("qtf"))
-    sums = index.positioned.select("term", "block_id", "doc_id").join(blocks, ["term", "block_id"]).groupBy("qid", "doc_id").agg(F.sum("block_bound").alias("most"))
-    return sums.join(limits, "qid").filter("most > theta").select("qid", "doc_id")
+    """Bounds are the largest within the cell."""
+    return _by_cell(index, weights, limits, F.col("unit") * F.col("max_weight") * F.col("qtf"))
+
+
+def _maxscore(index: Index, weights: DataFrame, limits: DataFrame) -> DataFrame:
+    """Scores of the documents that an essential term is in, if what the others can add at most would lift them over theta; the lists
+    of the others are only probed for these documents."""
+    split = checkpointed(running_bounds(weights, limits))
+    essential = split.filter("essential")
+    rest = split.groupBy("qid").agg(F.coalesce(F.sum(F.when(~F.col("essential"), F.col("bound"))), F.lit(0.0)).alias("rest"))
+    part = F.sum(F.col("unit") * F.col("weight") * F.col("qtf"))
+    partial = index.weighted.join(essential.select("qid", "term", "qtf", "unit"), "term").groupBy("qid", "doc_id").agg(part.alias("part"))
+    kept = checkpointed(partial.join(rest.join(limits, "qid"), "qid").filter("part + rest > theta").select("qid", "doc_id", "part"))
+    probes = kept.select("qid", "doc_id").join(split.filter("not essential").select("qid", "term", "qtf", "unit"), "qid")
+    more = index.weighted.join(probes, ["term", "doc_id"]).groupBy("qid", "doc_id").agg(part.alias("more"))
+    total = F.round(F.col("part") + F.coalesce("more", F.lit(0.0)), SCALE)
+    return kept.join(more, ["qid", "doc_id"], "left").select("qid", "doc_id", total.alias("score"))
 
 
 PRUNED = {"wand": _wand, "maxscore": _maxscore, "bmw": _block_max}
@@ -96,8 +124,9 @@ def topk(index: Index, query_terms: DataFrame, k: int | None = None, mode: str =
         return best(score(index, weights), k)
     if k > index.k:
         raise ValueError("thresholds are for the index's k; build it with a larger one")
-    weights = checkpointed(weights)  # a row for each query term, read by both phases
-    return best(score(index, weights, PRUNED[strategy](index, weights, checkpointed(theta(index, query_terms)))), k)
+    weights = checkpointed(weights)  # a row for each query term, read by every phase
+    limits = checkpointed(raised(index, weights, theta(index, query_terms), k))
+    return best(PRUNED[strategy](index, weights, limits), k)
 
 
 def sharded_topk(index: Index, query_terms: DataFrame, k: int | None = None) -> DataFrame:

@@ -79,10 +79,11 @@ def tasks(scores: DataFrame, assigned: DataFrame, scale: int = 6) -> DataFrame:
 
 
 def lookahead(query_terms: DataFrame, ahead: int) -> DataFrame:
-    """(qid, term, n): how many of the query itself and the next ahead - 1 ones hold the term; for the most wanted lists first."""
+    """(qid, term, n, rank): how many of the query itself and the next ahead - 1 ones hold the term, the most wanted lists first."""
     wanted = query_terms.select("qid", "term").distinct()
     seen_from = wanted.select(F.explode(F.sequence(F.col("qid") - (ahead - 1), F.col("qid"))).alias("qid"), "term")
-    return seen_from.join(wanted.select("qid").distinct(), "qid", "left_semi").groupBy("qid", "term").agg(F.count("*").alias("n"))
+    counts = seen_from.join(wanted.select("qid").distinct(), "qid", "left_semi").groupBy("qid", "term").agg(F.count("*").alias("n"))
+    return counts.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("n"), "term")))
 
 
 def warmup(sizes: DataFrame, budget: int) -> DataFrame:
@@ -111,6 +112,6 @@ def latency_quantiles(rows: DataFrame, value: str, quantiles: tuple[float, ...]
     return hit.select("q.quantile", "latency").union(mean)
 
 
-def throughput(n_queries: int, elapsed_us: float) -> float:
+def throughput(n_queries: Column, elapsed_us: Column) -> Column:
     """Queries a second."""
     return n_queries / elapsed_us * 1e6

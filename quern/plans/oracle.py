@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from quern.operators.features import ALL, SHARD_FEATURES
-from quern.plans.workload import ASKED
 
 TOKEN = r"[^\p{L}\p{N}]+"
 
@@ -44,15 +43,6 @@ blocks as (
 """
 QUERY_TERMS = rf"""
 qw as (select item_id as qid, unnest(regexp_split_to_array(lower(text), '{TOKEN}')) as term from benchmark),
-qc as (select qid, term, count(*)::bigint as qtf from qw where term <> '' group by qid, term),
-qt as (
-  select qid, term, qtf from (
-    select qc.*, row_number() over (partition by qid order by df desc, term) as r from qc join terms using (term), facts where df * 2 <= facts.n)
-  where r <= 4),
-qs as (select item_id as qid from benchmark)
-"""
-ALL_TERMS = rf"""
-qw as (select item_id as qid, unnest(regexp_split_to_array(lower(text), '{TOKEN}')) as term from benchmark),
 qt as (select qid, term, count(*)::bigint as qtf from qw where term <> '' group by qid, term),
 qs as (select item_id as qid from benchmark)
 """
@@ -234,7 +224,7 @@ s as (
 u as (select *, case when list_length <= 4096 then 4096 when list_length <= 8192 then 8192 when list_length <= 16384 then 16384 when list_length <= 32768 then 32768 else 65536 end::bigint as read_unit from s)
 select *, (list_length + skip + read_unit - 1) // read_unit * read_unit as read_length from u""", SIZES
     ).replace("@, ends", ", ends"),
-    "lookahead_terms": _text("select a.qid, b.term, count(*)::bigint as n from (select distinct qid from qt) a join (select distinct qid, term from qt) b on b.qid between a.qid and a.qid + 3 group by all"),
+    "lookahead_terms": _text("select *, row_number() over (partition by qid order by n desc, term)::int as rank from (select a.qid, b.term, count(*)::bigint as n from (select distinct qid from qt) a join (select distinct qid, term from qt) b on b.qid between a.qid and a.qid + 3 group by all)"),
     "latency_quantiles": """
 with v as (select value, row_number() over (order by value) - 1 as place, count(*) over () as n from events where value is not null)
 select p / 10e0 as quantile, round(value, 6) as latency from v join (select unnest([250, 500, 750, 950, 990, 999]) as p) on place = p * n // 1000
@@ -243,7 +233,7 @@ union all select 0, round(avg(value), 6) from v""",
         "select * from (select term, list_bytes, (sum(list_bytes) over (order by list_bytes desc, term rows unbounded preceding) - list_bytes)::bigint as before from lb) where before < 200000", SIZES
     ),
     "lru_first_touches": _text(
-        "select (count(*) - count(distinct term))::bigint as hit_count, count(distinct term)::bigint as miss_count, (select sum(list_bytes) from lb where term in (select term from qt))::bigint as miss_size from qt", SIZES
+        "select (count(*) - count(distinct term))::bigint as hit_count, count(distinct term)::bigint as miss_count, (select sum(list_bytes) from lb where term in (select term from qt))::bigint as miss_size from qt where term in (select term from terms)", SIZES
     ),
     "codec_roundtrip": _basket(
         """select codec, count(*)::bigint as n_blocks, (2 * sum(n))::bigint as n_values, count(*)::bigint as n_equal
@@ -251,6 +241,3 @@ from blocks, (select unnest(['vbyte', 'interpolative', 'gamma', 'delta', 'raw',
     ),
     "streamed_event_counts": "select date_trunc('hour', ts) as hour, event_type, count(*)::bigint as n from events group by all",
 }
-ORACLE_SQL |= {f"whole_{name}": ORACLE_SQL[name].replace(QUERY_TERMS, ALL_TERMS) for name in ASKED if name in ORACLE_SQL}
-# A word that no document holds has no list to be read.
-ORACLE_SQL["whole_lru_first_touches"] = ORACLE_SQL["whole_lru_first_touches"].removesuffix(" from qt") + " from qt where term in (select term from terms)"

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from contextvars import ContextVar
-from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -12,8 +10,10 @@ from pyspark.sql import functions as F
 from quern.functions import sizes
 from quern.functions.codecs import CODECS, coded, decoded
 from quern.operators import boolean, cache, features, index as ix, partition, ranked, schedule
-from quern.plans.workload import ASKED, basket_index, basket_query_terms, page_index, text_index, text_queries, text_query_terms
-from quern.session import shared_folder, table
+from quern.plans.files import QUERIES as file_queries
+from quern.plans.streams import QUERIES as stream_queries
+from quern.plans.workload import basket_index, basket_query_terms, page_index, text_index, text_queries, text_query_terms
+from quern.session import table
 from quern.sources.files import dense_terms
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,8 +21,6 @@ QUERIES: dict[str, Query] = {}
 #: Look-ahead of the planner, bytes of the cache, and digits of results.
 AHEAD, BUDGET, DIGITS = 4, 200_000, 6
 UNLIMITED = 1 << 60
-#: Whether the queries that are being made ask for all terms of the benchmark's texts.
-_whole = ContextVar("whole", default=False)
 
 
 def query(f: Query) -> Query:
@@ -35,8 +33,7 @@ def _rounded(df: DataFrame, *names: str) -> DataFrame:
 
 
 def _text(spark: SparkSession, sf_dir: str) -> tuple[ix.Index, DataFrame]:
-    own = text_index(spark, sf_dir)
-    return own, text_query_terms(spark, sf_dir, own, _whole.get())
+    return text_index(spark, sf_dir), text_query_terms(spark, sf_dir)
 
 
 @query
@@ -307,8 +304,37 @@ def greedy_reorder(spark, sf_dir):
 
 @query
 def optimal_partition(spark, sf_dir):
-    own = basket_index(spark, sf_dir)
-    return partition.partition(own.postings, own.bounds()[-1])
+    return partition.partition(basket_index(spark, sf_dir))
+
+
+def _widest(universe, n):
+    """Bits of a part if every value takes as many as the universe has, and a head."""
+    return n * sizes.digits(universe) + 32
+
+
+@query
+def gap_partition(spark, sf_dir):
+    """Partitions by another cost."""
+    return partition.partition(basket_index(spark, sf_dir), _widest)
+
+
+@query
+def balanced_shards(spark, sf_dir):
+    """Ranges of documents with about equally many postings."""
+    own = text_index(spark, sf_dir)
+    return ix.Index(own.postings, own.docs, cuts=ix.balanced_cuts(own)).shard_table()
+
+
+@query
+def throughput(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").filter("value is not null").groupBy("event_type").agg(F.count("*").alias("n"), F.sum("value").alias("us"))
+    return rows.select("event_type", "n", F.round(schedule.throughput(F.col("n"), F.col("us")), DIGITS).alias("per_second"))
+
+
+@query
+def read_alignment_fixed(spark, sf_dir):
+    """Reads in units of 64 KiB whatever the length."""
+    return schedule.reads(text_index(spark, sf_dir), fixed_unit=sizes.READ_UNITS[-1])
 
 
 @query
@@ -324,28 +350,4 @@ def codec_roundtrip(spark, sf_dir):
     return out.groupBy("codec").agg(F.count("*").alias("n_blocks"), F.sum("n").alias("n_values"), F.count_if("same").alias("n_equal"))
 
 
-@query
-def streamed_event_counts(spark, sf_dir):
-    """Events of each type by hour, counted as a stream that reads the table and ends."""
-    path = f"{sf_dir}/events.parquet"
-    rows = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path.replace("events.parquet", "event[s].parquet"))
-    rows = rows.withColumn("ts", F.col("ts").cast("timestamp"))
-    counts = rows.withWatermark("ts", "1 hour").groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"))
-    name = f"quern_{uuid4().hex}"
-    run = counts.select(F.col("w.start").cast("timestamp_ntz").alias("hour"), "event_type", "n").writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", f"{shared_folder(spark)}/stream-{name}").trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.table(name)
-
-
-def _over_whole_texts(run: Query) -> Query:
-    def over(spark, sf_dir):
-        token = _whole.set(True)
-        try:
-            return run(spark, sf_dir)
-        finally:
-            _whole.reset(token)
-
-    return over
-
-
-QUERIES |= {f"whole_{name}": _over_whole_texts(QUERIES[name]) for name in ASKED}
+QUERIES |= file_queries | stream_queries

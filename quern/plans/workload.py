@@ -2,45 +2,47 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.operators.index import TOKEN, Index, from_texts, from_tokens
-from quern.session import checkpointed, table
+from quern.session import checkpointed, state, table
 
-_kept: dict[tuple[str, str, str], Index] = {}
-_asked: dict[tuple[str, str, bool], DataFrame] = {}
-#: Queries that ask for text_query_terms; each is also registered as whole_..., over all terms of the benchmark's texts.
-ASKED = (
-    "query_terms_text", "and_count", "and_freqs", "or_count", "or_freqs", "ranked_or_topk", "ranked_and_topk", "wand_topk", "maxscore_topk", "bmw_topk", "next_geq_probe",
-    "block_asof_lookup", "prev_value_probe", "position_probe", "sharded_and_count", "sharded_topk", "merged_topk", "query_threshold", "essential_terms", "shard_score", "shard_tasks",
-    "features_term", "features_query", "lookahead_terms", "lru_simulation", "lru_first_touches", "greedy_reorder",
-)
-#: Terms of a query, and the share of the documents that a query term may be in.
-TERMS, SHARE = 4, 2
+#: What is held for each kind of collection and batch of queries, and the state of the table that it was made of.
+_kept: dict[tuple[str, str], tuple[object, object]] = {}
 
 
 def text_index(spark: SparkSession, sf_dir: str) -> Index:
-    """Tokens of documents. It is built once for an application and held, as an index is."""
-    return _held(spark, sf_dir, "text", lambda: from_texts(table(spark, sf_dir, "documents"), "doc_id", "text"))
+    """Tokens of documents. It is held, as an index is, until the table changes."""
+    return _held(spark, sf_dir, "text", "documents", lambda: from_texts(table(spark, sf_dir, "documents"), "doc_id", "text"))
 
 
 def basket_index(spark: SparkSession, sf_dir: str) -> Index:
     """Orders are documents, parts are terms."""
-    return _held(spark, sf_dir, "basket", lambda: from_tokens(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_partkey").alias("term"))))
+    return _held(spark, sf_dir, "basket", "lineitem", lambda: from_tokens(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_partkey").alias("term"))))
 
 
 def page_index(spark: SparkSession, sf_dir: str) -> Index:
     """Tokens of web pages without their tags."""
     pages = table(spark, sf_dir, "pages").select("page_id", F.regexp_replace("html", "<[^>]*>", " ").alias("text"))
-    return _held(spark, sf_dir, "pages", lambda: from_texts(pages, "page_id", "text"))
+    return _held(spark, sf_dir, "pages", "pages", lambda: from_texts(pages, "page_id", "text"))
 
 
-def _held(spark: SparkSession, sf_dir: str, kind: str, build) -> Index:
-    name = spark.sparkContext.applicationId, sf_dir, kind
-    if name not in _kept:
-        _kept[name] = build().keep()
-    return _kept[name]
+def _made_once(spark: SparkSession, sf_dir: str, kind: str, source: str, build, forget):
+    """What build makes of a table, held until the table changes or another folder is asked for; then forget gets the old one."""
+    app = spark.sparkContext.applicationId
+    now = sf_dir, state(spark, f"{sf_dir}/{source}.parquet")
+    was, held = _kept.get((app, kind), (None, None))
+    if was != now:
+        if held is not None:
+            forget(held)
+        held = build()
+        _kept[app, kind] = now, held
+    return held
+
+
+def _held(spark: SparkSession, sf_dir: str, kind: str, source: str, build) -> Index:
+    return _made_once(spark, sf_dir, kind, source, lambda: build().keep(), lambda index: index.drop())
 
 
 def text_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,27 +50,13 @@ def text_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"))
 
 
-def text_query_terms(spark: SparkSession, sf_dir: str, index: Index, whole: bool = False) -> DataFrame:
-    """(qid, term, qtf): of each benchmark item the terms in most documents, but in no more than a share of them; or all its terms.
+def text_query_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(qid, term, qtf): every term of each benchmark item, also those that no document holds.
 
-    Written once for an application, as a batch of queries is a file.
+    Written once, as a batch of queries is a file.
     """
-    name = spark.sparkContext.applicationId, sf_dir, whole
-    if name not in _asked:
-        _asked[name] = checkpointed(_all_terms(spark, sf_dir) if whole else _chosen_terms(spark, sf_dir, index))
-    return _asked[name]
-
-
-def _all_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.explode(F.split(F.lower("text"), TOKEN)).alias("term")).filter("term <> ''")
-    return words.groupBy("qid", "term").agg(F.count("*").alias("qtf"))
-
-
-def _chosen_terms(spark: SparkSession, sf_dir: str, index: Index) -> DataFrame:
-    counts = _all_terms(spark, sf_dir)
-    known = counts.join(index.only(counts).terms.select("term", "df"), "term").filter(F.col("df") * SHARE <= index.n_docs)
-    order = Window.partitionBy("qid").orderBy(F.col("df").desc(), "term")
-    return known.withColumn("turn", F.row_number().over(order)).filter(F.col("turn") <= TERMS).select("qid", "term", "qtf")
+    return _made_once(spark, sf_dir, "asked", "benchmark", lambda: checkpointed(words.groupBy("qid", "term").agg(F.count("*").alias("qtf"))), lambda _: None)
 
 
 def basket_query_terms(spark: SparkSession, sf_dir: str) -> DataFrame:

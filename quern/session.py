@@ -5,7 +5,10 @@ from __future__ import annotations
 import os
 import tempfile
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,16 +51,51 @@ def ship(spark: SparkSession) -> None:
 def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder of this application: the one that the cluster names in spark.checkpoint.dir.
 
-    Only where neither that setting nor the application names one (tests, a laptop) is a temporary folder used.
+    Only where neither that setting nor the application names one, and all tasks run in this machine (tests, a laptop), is a
+    temporary folder used; on a cluster it is an error.
     """
     sc = spark.sparkContext
     known = sc._jsc.sc().getCheckpointDir()
     if known.isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quern-checkpoint-"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="quern-checkpoint-"))
         known = sc._jsc.sc().getCheckpointDir()
     return known.get()
 
 
+def _path(spark: SparkSession, path: str):
+    """A path and its file system, as Spark sees them."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder or file with all that it holds, wherever Spark can write."""
+    at, fs = _path(spark, path)
+    fs.delete(at, True)
+
+
+def state(spark: SparkSession, path: str) -> tuple[int, int]:
+    """Bytes and last change of a file, or of the files of a folder; tells whether a table has been written again."""
+    at, fs = _path(spark, path)
+    found = [f for f in fs.listStatus(at) if f.isFile()]
+    return sum(f.getLen() for f in found), max((f.getModificationTime() for f in found), default=0)
+
+
+@contextmanager
+def scratch(spark: SparkSession, kind: str) -> Iterator[str]:
+    """A folder in the shared folder, which goes at the end; what is read from it must have been checkpointed by then."""
+    folder = f"{shared_folder(spark)}/{kind}-{uuid4().hex}"
+    try:
+        at, fs = _path(spark, folder)
+        fs.mkdirs(at)
+        yield folder
+    finally:
+        remove(spark, folder)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cuts the lineage with a reliable checkpoint in the shared folder."""
     shared_folder(df.sparkSession)

@@ -3,13 +3,13 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quern.operators import boolean, features, ranked, schedule
+from quern.operators import boolean, features, partition, ranked, schedule
 from quern.operators.cache import ListCache, greedy_reorder, simulate
-from quern.operators.index import Index, balanced_cuts, from_texts, from_tokens, invalid_postings, shard_splits
-from quern.operators.partition import cheapest_cuts, exact_cuts, partition
+from quern.operators.index import Index, balanced_cuts, covering_block, from_texts, from_tokens, invalid_postings, next_geq, shard_splits
 from quern.sources.files import batches, dense_terms
 
 B, K1 = 0.5, 1.2
@@ -209,13 +209,89 @@ def test_simulations(spark):
     assert batches(queries.select("qid"), 4).select("batch_id").distinct().count() == 3
 
 
-def test_partitions_cost_little_more_than_the_best(spark):
+def least_cost(values, universe):
+    """The least cost of all cuts of a list, one place after the other."""
+    cost = lambda u, n: int(partition.part_cost(np.array([u]), np.array([n]))[0])
+    best = [0]
+    for end in range(1, len(values) + 1):
+        bases = [values[i - 1] + 1 if i else values[0] for i in range(end)]
+        prices = [best[i] + cost(values[end - 1] - b + 1, end - i) for i, b in enumerate(bases)]
+        if end == len(values):
+            prices[0] = cost(universe, end)
+        best.append(min(prices))
+    return best[-1]
+
+
+def test_partitions_are_the_cheapest(spark):
     rng = random.Random(3)
-    for n in (1, 2, 40, 120):
-        values = sorted(rng.sample(range(2000), n // 2)) + sorted(rng.sample(range(5000, 5000 + 2 * n), n - n // 2)) if n > 2 else sorted(rng.sample(range(2000), n))
-        cuts, cost = cheapest_cuts(values, 10_000)
-        assert cuts[-1] == n and exact_cuts(values, 10_000) <= cost <= 1.4 * exact_cuts(values, 10_000)
-        assert cheapest_cuts(values, 10_000, eps1=0, eps2=0.05)[1] <= cost * 1.05
-    rows = spark.createDataFrame([(t, d) for t in range(3) for d in range(0, 600, t + 1)], "term long, doc_id long")
-    parts = partition(rows, 600)
-    assert parts.groupBy("term").agg(F.sum("n")).orderBy("term").collect() == [(0, 600), (1, 300), (2, 200)]
+    lists = {}
+    for t, n in enumerate((1, 2, 40, 120, 120, 400)):
+        dense = rng.sample(range(5000, 5000 + 2 * n), n - n // 2)
+        lists[t] = sorted(rng.sample(range(2000), n // 2)) + sorted(dense)
+    docs = spark.range(10_000).select(F.col("id").alias("doc_id"), F.lit(1).cast("long").alias("len"))
+    postings = spark.createDataFrame([(t, d, 1) for t, v in lists.items() for d in v], "term long, doc_id long, freq long")
+    index = Index(postings, docs)
+    parts = {}
+    for r in partition.partition(index).orderBy("term", "part").collect():
+        parts.setdefault(r.term, []).append(r)
+    for t, v in lists.items():
+        assert sum(r.cost for r in parts[t]) == least_cost(v, 10_000)
+        assert sum(r.n for r in parts[t]) == len(v) and [r.first_doc for r in parts[t]] == sorted(r.first_doc for r in parts[t])
+        assert all(r.n == sum(r.first_doc <= d <= r.last_doc for d in v) for r in parts[t])
+    pieces = partition.partition(index, piece=16).groupBy("term").agg(F.sum("cost").alias("cost"), F.sum("n").alias("n")).collect()
+    for r in pieces:
+        assert r.n == len(lists[r.term]) and least_cost(lists[r.term], 10_000) <= r.cost <= 1.5 * least_cost(lists[r.term], 10_000)
+
+
+def test_a_long_even_list_stays_one_part(spark):
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit(1).cast("long").alias("len"))
+    index = Index(docs.select(F.lit(7).alias("term"), "doc_id", F.lit(1).cast("long").alias("freq")), docs)
+    (r,) = partition.partition(index, piece=64).collect()
+    assert (r.n, r.first_doc, r.last_doc, r.cost) == (3000, 0, 2999, partition.FIXED)
+
+
+def test_seeks_read_one_block(spark, small):
+    """For every list and many bounds, next_geq and covering_block against the lists; the join meets few blocks for each probe."""
+    _, index, lists, _, _ = small
+    bounds = [-5, 0, 1, 7, 100, 150, 299, 300, 5000]
+    probes = spark.createDataFrame([(t, b) for t in (*lists, 999) for b in bounds], "term long, lower long")
+    for r in next_geq(index, probes).collect():
+        after = [d for d in sorted(lists.get(r.term, {})) if d >= r.lower]
+        assert (r.doc_id, r.ordinal) == ((after[0], len(lists[r.term]) - len(after)) if after else (None, None))
+    blocks = {}
+    for b in index.blocks.orderBy("block_id").collect():
+        blocks.setdefault(b.term, []).append(b)
+    for r in covering_block(index, probes).collect():
+        after = [b for b in blocks.get(r.term, []) if b.last_doc >= r.lower]
+        assert r.block_id == (after[0].block_id if after else None) and (not after or r.last_doc == after[0].last_doc)
+
+
+def test_shards_of_equal_weight(spark):
+    rows = [(d, t) for d in range(200) for t in range(1 if d < 100 else 9)]
+    index = from_tokens(spark.createDataFrame(rows, "doc_id long, term long"))
+    cuts = balanced_cuts(index, 4)
+    sizes = [sum(1 for d, _ in rows if lo <= d < hi) for lo, hi in zip(cuts, cuts[1:])]
+    assert cuts[0] == 0 and cuts[-1] == 200 and len(sizes) == 4 and max(sizes) - min(sizes) <= 2 * 9
+
+
+def test_pruned_plans_skip_most_documents(spark, small):
+    """Cells that cannot reach the threshold meet no posting."""
+    _, index, _, _, terms = small
+    own = index.only(terms)
+    weights = ranked.query_weights(own, terms)
+    limits = ranked.raised(own, weights, ranked.theta(own, terms), 10)
+    every = ranked.score(own, weights).groupBy("qid").count().collect()
+    best = {r.qid: r.score for r in ranked.topk(index, terms).filter("rank = 10").collect()}
+    for r in limits.collect():
+        assert r.qid not in best or r.theta <= best[r.qid]
+    for strategy in ranked.PRUNED.values():
+        met = dict(strategy(own, weights, limits).groupBy("qid").count().collect())
+        assert all(met.get(r.qid, 0) <= r["count"] for r in every)
+
+
+def test_a_table_that_changes_is_read_again(spark, tmp_path):
+    from quern.plans.workload import text_index
+
+    for n in (3, 5):
+        spark.createDataFrame([(i, "some words") for i in range(n)], "doc_id long, text string").write.mode("overwrite").parquet(str(tmp_path / "documents.parquet"))
+        assert text_index(spark, str(tmp_path)).n_docs == n

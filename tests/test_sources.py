@@ -1,5 +1,6 @@
 """Files in the formats of collections, queries and results."""
 
+import random
 import struct
 
 import pytest
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quern.operators import ranked
 from quern.sources import files
+from quern.sources.binary import BinaryReader
 from quern.streaming import log
 
 
@@ -35,10 +37,42 @@ def test_short_and_wrong_files(spark, tmp_path):
 
 
 def test_written_sequences_read_back(spark, tmp_path):
-    rows = spark.createDataFrame([(1, [7, 8]), (0, [5])], "seq int, values array<long>")
+    rows = spark.createDataFrame([(1, 1, 8), (0, 0, 5), (1, 0, 7)], "seq int, pos int, value long")
     files.write_sequences(rows, str(tmp_path / "x"))
     got = files.binary_sequences(spark, str(tmp_path / "x")).select("seq", "value").orderBy("seq", "pos").collect()
-    assert got == [(0, 5), (1, 7), (1, 8)]
+    assert got == [(0, 5), (1, 7), (1, 8)] and [p.name for p in tmp_path.iterdir()] == ["x"]
+
+
+def test_ranges_cut_files_anywhere(tmp_path):
+    """Files of sequences of all lengths, some cut short, read in ranges of all sizes, against one pass over the bytes."""
+    rng = random.Random(1)
+    for _ in range(100):
+        lists = [[rng.randrange(1000) for _ in range(rng.choice((0, 1, 3, 20, 200)))] for _ in range(rng.randrange(1, 20))]
+        sequences(tmp_path / "r", *lists, cut=rng.choice((0, 0, 2, 5, 9)))
+        data, want, at, seq = (tmp_path / "r").read_bytes(), [], 0, 0
+        while at + 4 <= len(data):
+            n = min(int.from_bytes(data[at : at + 4], "little"), (len(data) - at - 4) // 4)
+            want += [(seq, p, int.from_bytes(data[at + 4 + 4 * p : at + 8 + 4 * p], "little")) for p in range(n)]
+            seq, at = seq + (n > 0), at + 4 + 4 * n
+        for part in (16, 40, 100, 1 << 20):
+            reader = BinaryReader({"path": str(tmp_path / "r"), "kind": "sequences", "dtype": "<u4", "part": str(part)})
+            pieces = reader.partitions()
+            assert [x for p in pieces for b in reader.read(p) for x in zip(*[c.to_pylist() for c in b.columns])] == want
+            assert part > 40 or len(pieces) >= len(data) // (2 * part + 8)
+
+
+def test_lines_are_numbered_across_splits(spark, tmp_path):
+    for i in range(3):
+        (tmp_path / "t").mkdir(exist_ok=True)
+        (tmp_path / "t" / f"part-{i}").write_text("".join(f"{i}-{k}\n" for k in range(500 * i + 10)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        got = files.numbered_lines(spark, str(tmp_path / "t"))
+        rows = got.orderBy("line").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert [r.line for r in rows] == list(range(10 + 510 + 1010)) and [r.value for r in rows] == [f"{i}-{k}" for i in range(3) for k in range(500 * i + 10)]
 
 
 def test_query_files(spark, tmp_path):
