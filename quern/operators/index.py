@@ -24,8 +24,11 @@ PART, UNKNOWN = 64 << 20, 1 << 60
 
 
 def estimated_bytes(df: DataFrame) -> int:
-    """The optimizer's estimate of df's size."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """The optimizer's estimate of df's size, or that of all that df is made of if it is less: a join's estimate is a product."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    leaves = plan.collectLeaves()
+    made_of = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    return min(int(str(plan.stats().sizeInBytes())), made_of)
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
