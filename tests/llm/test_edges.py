@@ -221,6 +221,23 @@ def test_one_of_each_component_stays(clashing, odd_rows, no_docs):
     assert simhash.keep_one(no_docs).count() == 0
 
 
+def test_rules_find_every_pair_within_their_distance(spark):
+    """Pairs whose differences lie anywhere, by each rule; distances beyond it are no links."""
+    rng = random.Random(4)
+    assert simhash.FOUR.segments == simhash.FIVE.segments == [(0, 22), (22, 43), (43, 64)] and len(simhash.Rule(4, 7).segments) == 4
+    for rule in (simhash.FOUR, simhash.FIVE, simhash.Rule(4, 7)):
+        values, want = [], []
+        for i in range(120):
+            a, far = rng.getrandbits(64), i % (rule.distance + 3)
+            values += [a, a ^ sum(1 << b for b in rng.sample(range(64), far))]
+            want.append(far <= rule.distance)
+        df = spark.createDataFrame([(i, simhash._signed(v)) for i, v in enumerate(values)], "id long, fp long")
+        got = {r.id: r.component for r in simhash.near_duplicates(df, "id", rule).collect()}
+        assert [got[2 * i] == got[2 * i + 1] for i in range(120)] == want
+    texts = [None, "", "one", "one two three four", "one two three four five six"]
+    assert [simhash.fingerprint(t, 5) for t in texts] == [brute_fingerprint(t, 5) for t in texts]
+
+
 def test_large_buckets_lose_no_component(spark, monkeypatch):
     monkeypatch.setattr(simhash, "SMALL", 3)
     monkeypatch.setattr(simhash, "BLOCK", 16)

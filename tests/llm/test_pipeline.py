@@ -48,7 +48,7 @@ def test_lines(stages):
 
 def test_near_duplicates(stages):
     rows = stages[2].orderBy("doc_id").collect()
-    want = brute_components([r.doc_id for r in rows], [brute_fingerprint(r.text) for r in rows])
+    want = brute_components([r.doc_id for r in rows], [brute_fingerprint(r.text, 5) for r in rows], 5)
     assert sorted(r.doc_id for r in stages[3].collect()) == sorted(set(want.values()))
 
 

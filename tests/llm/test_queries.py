@@ -49,16 +49,16 @@ def test_op2_on_held_out_documents(spark, sf_dir, duck):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
-def brute_fingerprint(text):
+def brute_fingerprint(text, n=4):
     words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
     if not words:
         return 0
-    shingles = [" ".join(words[i : i + 4]) for i in range(len(words) - 3)] or [" ".join(words)]
+    shingles = [" ".join(words[i : i + n]) for i in range(len(words) - n + 1)] or [" ".join(words)]
     h = [xxhash.xxh64_intdigest(s.encode(), seed=42) for s in shingles]
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
-def brute_components(ids, prints):
+def brute_components(ids, prints, most=4):
     root = list(range(len(ids)))
 
     def find(x):
@@ -68,7 +68,7 @@ def brute_components(ids, prints):
 
     for i, a in enumerate(prints):
         for j in range(i):
-            if (a ^ prints[j]).bit_count() <= 4:
+            if (a ^ prints[j]).bit_count() <= most:
                 x, y = find(i), find(j)
                 root[max(x, y)] = min(x, y)
     return {d: ids[find(i)] for i, d in enumerate(ids)}
