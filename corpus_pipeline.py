@@ -1,7 +1,10 @@
 """A corpus from raw documents to tokens: five stages, each written as Parquet and read again as the next one's documents.
 
-Nulls: a document without text has no words and goes in the first stage. Empty tables pass through. Every stage works on all
-rows that its predecessor kept, and takes its decisions by the operator that it names.
+Nulls: a document without text has no words and goes in the first stage; a null source is a source, null languages and ids stay. Empty
+tables pass through. Rows that repeat an id and a text are one document from the near-duplicate stage on; rows that repeat an id alone
+are documents of their own. Ties go to the smaller id, then to the smaller hash of the text. Columns beside those of documents pass
+through all stages but the last, whatever their names. Every stage works on all rows that its predecessor kept, and takes its decisions
+by the operator that it names.
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import bpe, lines, mixing, quality, simhash
-from quern.session import shared_folder, table
+from quern.session import remove, shared_folder, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,8 +32,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
-    return simhash.keep_one(docs)
+    """One document of each group of near duplicates by words in fives."""
+    return simhash.keep_one(docs, rule=simhash.FIVE)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +60,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, applied to documents. What lies between them is kept in the shared folder of spark.checkpoint.dir."""
+    """All stages, applied to documents. What lies between them is kept in the shared folder of spark.checkpoint.dir until the stage
+    after it has been written; what the last stage reads stays, as the caller has yet to run it."""
     folder = f"{shared_folder(spark)}/pipeline-{uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
@@ -65,4 +69,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if i < len(STAGES) - 1:
             docs.write.parquet(f"{folder}/{i}")
             docs = spark.read.parquet(f"{folder}/{i}")
+            if i:
+                remove(spark, f"{folder}/{i - 1}")
     return docs
