@@ -2,12 +2,16 @@
 
 The words of all documents are shared out among the sources by weight; no source may get more than MOST times its own words,
 and what it cannot take is shared among the others. A document's expected number of copies is the ratio of its source's target
-to the source's words. Whole copies are certain; the fraction is an inclusion probability, and documents are ranked by random
-odds divided by inclusion odds. The first ones in that order get one more copy until the source's remaining words are used up.
+to the source's words, or in proportion to a weight of its own, if one is named, but never more than MOST. Whole copies are certain;
+the fraction is an inclusion probability, and documents are ranked by random odds divided by inclusion odds. The first ones in that
+order get one more copy until the source's remaining words are used up.
 
 The order is not sorted in one task: a histogram of ranks finds where the words run out, twice more finely, and only the
 documents of the last cell are put in order. Random numbers are hashes of key and seed, so reruns agree.
 
+Weights are few classes, such as grades of quality: a table has a row for each class of each source. Null weights and those below 0
+count as 0, and documents of weight 0 are never taken, nor is a source without another.
+
 Null and empty texts have size 0 and fill nothing. A null source is a source, the last one. Rows that repeat a key have the
 same random number; the larger size comes first. Empty input gives empty output.
 """
@@ -55,15 +59,38 @@ def targets(sizes: DataFrame) -> DataFrame:
     return flat.select("source", "source_size", F.least(F.coalesce(F.col("water") * F.col("weight"), F.lit(float("inf"))), (MOST * F.col("source_size")).cast("double")).alias("target"))
 
 
-def mix(rows: DataFrame, key: str, seed: str = SEED) -> DataFrame:
-    """rows has key, `source` and `size`; adds source_size, target, `copies` and `taken`."""
-    known = targets(rows).withColumnRenamed("source", "its_source")
-    joined = rows.join(known, F.col("source").eqNullSafe(F.col("its_source"))).drop("its_source")
-    expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+def expectations(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """(source, weight, source_size, target, expected, left): copies of the documents of a class, and the words that whole copies leave.
+
+    Copies are in proportion to the weight, and MOST where that would be more, which leaves more for the others; solved like targets().
+    The table has a row for each class of each source.
+    """
+    classes = rows.groupBy("source", "weight").agg(F.sum("size").alias("words")).join(known.withColumnRenamed("source", "its_source"), F.col("source").eqNullSafe(F.col("its_source"))).drop("its_source")
+    every = Window.partitionBy("source")
+    order = every.orderBy(F.desc("weight"))
+    full = classes.withColumn("above", F.coalesce(F.sum("words").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    rest = F.sum(F.col("weight") * F.col("words")).over(order.rowsBetween(0, Window.unboundedFollowing))
+    level = full.withColumn("level", F.when(rest > 0, (F.col("target") - MOST * F.col("above")) / rest))
+    # Classes are full from the top; the level is that of the first one which it does not fill.
+    open_ = F.when(F.col("level") * F.col("weight") <= MOST, F.struct(-F.col("weight"), F.col("level").alias("level")))
+    flat = level.withColumn("open", F.min(open_).over(every)["level"])
+    # Where all are full, they are; a weight of 0 has no copies.
+    expected = F.when(F.col("weight") <= 0, F.lit(0.0)).otherwise(F.least(F.coalesce(F.col("open"), F.lit(float("inf"))) * F.col("weight"), F.lit(float(MOST))))
+    done = flat.withColumn("expected", F.when(F.col("words") > 0, expected).otherwise(F.lit(0.0)))
+    return done.select("source", "weight", "source_size", "target", "expected", (F.col("target") - F.sum(F.floor("expected") * F.col("words")).over(every)).alias("left"))
+
+
+def mix(rows: DataFrame, key: str, seed: str = SEED, weight: str | None = None) -> DataFrame:
+    """rows has key, `source` and `size`, and maybe a weight; adds source_size, target, `copies` and `taken`."""
+    names = rows.columns
+    own = F.lit(1.0) if weight is None else F.greatest(F.coalesce(F.col(weight).cast("double"), F.lit(0.0)), F.lit(0.0))
+    weighed = rows.withColumn("__weight", own)
+    known = expectations(weighed.select("source", "size", F.col("__weight").alias("weight")), targets(rows)).withColumnsRenamed({"source": "its_source", "weight": "its_weight"})
+    joined = weighed.join(known, F.col("source").eqNullSafe(F.col("its_source")) & (F.col("__weight") == F.col("its_weight"))).drop("its_source", "its_weight", "__weight")
     u = uniform(key, seed)
     part = F.col("expected") - F.col("whole")
     rank = (u / (1 - u)) / (part / (1 - part))
-    ranked = joined.withColumn("expected", expected).withColumn("whole", F.floor("expected")).withColumn("open", part > 0).withColumn("rank", F.when(F.col("open"), rank / (1 + rank)).otherwise(F.lit(1.0)))
+    ranked = joined.withColumn("whole", F.floor("expected")).withColumn("open", part > 0).withColumn("rank", F.when(F.col("open"), rank / (1 + rank)).otherwise(F.lit(1.0)))
     ranked = checkpointed(ranked.withColumn("cell", F.least(F.floor(F.col("rank") * CELLS), F.lit(CELLS - 1))).withColumn("fine", F.least(F.floor(F.col("rank") * CELLS * CELLS), F.lit(CELLS * CELLS - 1))))
 
     def cells(of: DataFrame, cell: str, before: str) -> DataFrame:
@@ -78,20 +105,19 @@ def mix(rows: DataFrame, key: str, seed: str = SEED) -> DataFrame:
         verdict = F.when(F.col("from") + F.col("words") <= F.col("left"), 1).when(F.col("from") > F.col("left"), 0)
         return met.withColumn("more", verdict).drop("s", "c", "words")
 
-    left = F.col("target") - F.col("whole") * F.col("source_size")
-    candidates = ranked.filter("open").withColumn("left", left).withColumn("zero", F.lit(0).cast("long"))
+    candidates = ranked.filter("open").withColumn("zero", F.lit(0).cast("long"))
     first = checkpointed(placed(candidates, "cell", "zero"))
     second = placed(first.filter("more is null").withColumnRenamed("from", "from_cell").drop("more"), "fine", "from_cell")
     second = checkpointed(second.drop("from_cell"))
     order = Window.partitionBy("source").orderBy("rank", key, F.col("size").desc()).rowsBetween(Window.unboundedPreceding, -1)
     last = second.filter("more is null").withColumn("done", F.col("from") + F.coalesce(F.sum("size").over(order), F.lit(0))).withColumn("more", (F.col("done") + F.col("size") / 2 <= F.col("left")).cast("int"))
-    names = [*rows.columns, "source_size", "target", "whole", "more"]
+    kept = [*names, "source_size", "target", "whole", "more"]
     parts = [ranked.filter("not open").withColumn("more", F.lit(0)), first.filter("more is not null"), second.filter("more is not null"), last]
-    out = parts[0].select(*names)
+    out = parts[0].select(*kept)
     for p in parts[1:]:
-        out = out.union(p.select(*names))
+        out = out.union(p.select(*kept))
     copies = (F.col("whole") + F.col("more")).cast("long")
-    return out.select(*rows.columns, "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return out.select(*names, "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
 def sizes(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", carry: tuple[str, ...] = ()) -> DataFrame:
@@ -99,9 +125,9 @@ def sizes(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
     return docs.select(F.col(key), F.col(source).alias("source"), n_words(F.col(text)).alias("size"), *carry)
 
 
-def plan(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """key, source, size, source_size, target, copies and taken of every document."""
-    return mix(checkpointed(sizes(docs, key, text, source)), key)
+def plan(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weight: str | None = None) -> DataFrame:
+    """key, source, size, source_size, target, copies and taken of every document, and the weight if one is named."""
+    return mix(checkpointed(sizes(docs, key, text, source, (weight,) if weight else ())), key, weight=weight)
 
 
 def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:

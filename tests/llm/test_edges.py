@@ -398,6 +398,53 @@ def test_water_filling(spark):
     assert got.keys() == want.keys() and all(abs(got[s] - want[s]) < 1e-6 for s in want)
 
 
+def brute_mix(rows):
+    """copies of rows (id, source, size, weight) by the definition, for sources whose targets are given by mixing.targets()."""
+    import hashlib
+
+    def run(target):
+        out = {}
+        for s in {r[1] for r in rows}:
+            own = [r for r in rows if r[1] == s and r[2] > 0]
+            lo, hi = 0.0, 1e6
+            for _ in range(200):  # copies in proportion to the weight, 3 at most
+                mid = (lo + hi) / 2
+                lo, hi = (mid, hi) if sum(r[2] * min(3.0, mid * r[3]) for r in own) < target[s] else (lo, mid)
+            expected = {r[0]: round(min(3.0, lo * r[3]), 9) for r in own}
+            left = target[s] - sum(math.floor(expected[r[0]]) * r[2] for r in own)
+            order = []
+            for r in own:
+                p = expected[r[0]] % 1
+                u = (int(hashlib.md5(f"mix-1:{r[0]}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+                if p > 0:
+                    q = u / (1 - u) / (p / (1 - p))
+                    order.append((q / (1 + q), r[0], r[2]))
+            done = 0
+            for _, i, size in sorted(order):
+                out[i] = math.floor(expected[i]) + (done + size / 2 <= left)
+                done += size
+            out |= {r[0]: int(expected[r[0]]) for r in own if r[0] not in out}
+        return out
+
+    return run
+
+
+def test_mixes_by_weights_against_brute_force(spark):
+    """Unequal probabilities: the documents of each source are taken in Pareto order by their own weights."""
+    rng = random.Random(12)
+    rows = [(i, rng.choice("abc"), rng.randrange(1, 40), float(rng.choice((0, 1, 2, 5)))) for i in range(400)] + [(900, "d", 7, 0.0), (901, "a", 0, 5.0)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, size long, grade double")
+    target = {r.source: r.target for r in mixing.targets(df).collect()}
+    want = brute_mix(rows)(target)
+    got = {r.doc_id: r for r in mixing.mix(df, "doc_id", weight="grade").collect()}
+    assert len(got) == len(rows) and all(got[i].copies == n for i, n in want.items()) and got[900].copies == 0
+    assert all(r.copies == 0 for r in got.values() if r.grade == 0) and all(r.copies <= 3 for r in got.values())
+    mean = lambda g: np.mean([r.copies for r in got.values() if r.grade == g and r["size"]])
+    assert mean(1.0) < mean(2.0) < mean(5.0)
+    for s in "abc":
+        assert abs(sum(r.taken for r in got.values() if r.source == s) - target[s]) <= 40
+
+
 def test_mixes_of_odd_documents(clashing, odd_docs, odd_rows, no_docs):
     rows = mixing.plan(odd_docs).collect()
     assert len(rows) == len(odd_rows) and all(r.taken <= 3 * r.size for r in rows)
