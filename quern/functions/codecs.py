@@ -215,7 +215,7 @@ def from_group_of_eight(data: bytes, n: int) -> list[int]:
     return out[:n]
 
 
-def patched(values: list[int], share: float = 0.9) -> bytes:
+def patched(values: list[int]) -> bytes:
     """Frame of reference with exceptions: the width that costs least; wider values add their high part at the end."""
     if not values:
         return b""

@@ -19,6 +19,8 @@ BLOCK, SHARDS, K = 128, 8, 10
 #: Neighbouring document numbers of a cell, the unit in which ranked queries skip documents.
 CELL = 16
 TOKEN = r"[^\p{L}\p{N}]+"
+#: Most documents of a range in which the postings of a list are counted by one task.
+STRETCH = 1 << 20
 #: Bytes of a part, and the size from which on an estimate is none.
 PART, UNKNOWN = 64 << 20, 1 << 60
 
@@ -154,15 +156,20 @@ class Index:
 
     @cached_property
     def positioned(self) -> DataFrame:
-        """Weighted postings with `ordinal` in their list, `prev_doc` (-1 for the first) and `block_id`."""
-        own = self.weighted.withColumn("shard_id", self.shard(F.col("doc_id")))
-        order = Window.partitionBy("term").orderBy("shard_id").rowsBetween(Window.unboundedPreceding, -1)
-        parts = own.groupBy("term", "shard_id").agg(F.count("*").alias("n"), F.max("doc_id").alias("last"))
-        starts = parts.select("term", "shard_id", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("start"), F.coalesce(F.max("last").over(order), F.lit(-1)).alias("before"))
-        within = Window.partitionBy("term", "shard_id").orderBy("doc_id")
-        met = own.withColumn("turn", F.row_number().over(within) - 1).withColumn("prev", F.lag("doc_id").over(within)).join(starts, ["term", "shard_id"])
+        """Weighted postings with `ordinal` in their list, `prev_doc` (-1 for the first) and `block_id`.
+
+        Lists are counted by ranges of documents, a shard or STRETCH numbers wide, so no task counts more postings of a list than that.
+        """
+        bounds = self.bounds()
+        width = max(1, min(STRETCH, -(-(bounds[-1] - bounds[0]) // self.shards)))
+        own = self.weighted.withColumn("range", F.expr(f"(doc_id - {bounds[0]}) div {width}"))
+        order = Window.partitionBy("term").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+        parts = own.groupBy("term", "range").agg(F.count("*").alias("n"), F.max("doc_id").alias("last"))
+        starts = parts.select("term", "range", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("start"), F.coalesce(F.max("last").over(order), F.lit(-1)).alias("before"))
+        within = Window.partitionBy("term", "range").orderBy("doc_id")
+        met = own.withColumn("turn", F.row_number().over(within) - 1).withColumn("prev", F.lag("doc_id").over(within)).join(starts, ["term", "range"])
         placed = met.withColumn("ordinal", F.col("start") + F.col("turn")).withColumn("prev_doc", F.coalesce("prev", "before"))
-        return placed.select("term", "doc_id", "freq", "weight", "shard_id", "ordinal", "prev_doc", F.expr(f"ordinal div {self.block}").alias("block_id"))
+        return placed.select("term", "doc_id", "freq", "weight", "ordinal", "prev_doc", F.expr(f"ordinal div {self.block}").alias("block_id"))
 
     @cached_property
     def blocks(self) -> DataFrame:
