@@ -62,12 +62,15 @@ def running_bounds(weights: DataFrame, limits: DataFrame) -> DataFrame:
     return weights.join(limits, "qid").withColumn("running", F.sum("bound").over(order)).withColumn("essential", F.col("running") > F.col("theta"))
 
 
-def raised(index: Index, weights: DataFrame, limits: DataFrame, k: int) -> DataFrame:
-    """limits with the k-th best sum of a query's HEAD terms where that is more: what other terms add is never negative."""
+def reached(index: Index, weights: DataFrame, k: int) -> DataFrame:
+    """(qid, theta): the k-th best sum of a query's HEAD terms, less a slack for rounding, or 0; what other terms add is never negative.
+
+    It is more than theta() but where a term with a smaller bound has the best k-th score, and reads a few short lists only.
+    """
     order = Window.partitionBy("qid").orderBy(F.col("bound").desc(), "term")
     head = weights.withColumn("turn", F.row_number().over(order)).filter(F.col("turn") <= HEAD)
-    found = best(score(index, head), k).filter(F.col("rank") == k).select("qid", (F.col("score") - SLACK).alias("reached"))
-    return limits.join(found, "qid", "left").select("qid", F.greatest("theta", F.coalesce("reached", F.lit(0.0))).alias("theta"))
+    found = best(score(index, head), k).filter(F.col("rank") == k).select("qid", F.greatest(F.col("score") - SLACK, F.lit(0.0)).alias("theta"))
+    return weights.select("qid").distinct().join(found, "qid", "left").select("qid", F.coalesce("theta", F.lit(0.0)).alias("theta"))
 
 
 def _by_cell(index: Index, weights: DataFrame, limits: DataFrame, bound: Column) -> DataFrame:
@@ -122,11 +125,8 @@ def topk(index: Index, query_terms: DataFrame, k: int | None = None, mode: str =
         return best(score(index, weights).join(needed, "qid").filter("n_met = needed"), k)
     if strategy == "exhaustive":
         return best(score(index, weights), k)
-    if k > index.k:
-        raise ValueError("thresholds are for the index's k; build it with a larger one")
     weights = checkpointed(weights)  # a row for each query term, read by every phase
-    limits = checkpointed(raised(index, weights, theta(index, query_terms), k))
-    return best(PRUNED[strategy](index, weights, limits), k)
+    return best(PRUNED[strategy](index, weights, checkpointed(reached(index, weights, k))), k)
 
 
 def sharded_topk(index: Index, query_terms: DataFrame, k: int | None = None) -> DataFrame:

@@ -279,7 +279,7 @@ def test_pruned_plans_skip_most_documents(spark, small):
     _, index, _, _, terms = small
     own = index.only(terms)
     weights = ranked.query_weights(own, terms)
-    limits = ranked.raised(own, weights, ranked.theta(own, terms), 10)
+    limits = ranked.reached(own, weights, 10)
     every = ranked.score(own, weights).groupBy("qid").count().collect()
     best = {r.qid: r.score for r in ranked.topk(index, terms).filter("rank = 10").collect()}
     for r in limits.collect():
