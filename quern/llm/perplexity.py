@@ -11,8 +11,8 @@ adds up the logarithms of the bytes that belong to it, the sums are written, and
 is one pass. So the documents' counts are never shuffled, and memory is bounded by the largest shard.
 
 A document is kept if its perplexity is no more than the limit of its language: the QUANTILE among trusted documents of that language
-that the model was not trained on. Documents of languages without any, and those without a language, take the quantile over all of
-them. Means are smoothed, since short texts vary more.
+that the model was not trained on. Languages that have fewer than one in 1 - QUANTILE, and documents without a language, take the
+quantile over all of them. Means are smoothed, since short texts vary more.
 
 Null and empty texts have no perplexity and are not kept. Without trusted text every byte is equally likely, and there is no
 limit. Repeated rows are scored alike; each counts as trusted text if its label says so.
@@ -273,7 +273,9 @@ def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     # Rounded, so that the exact quantiles need a bounded number of distinct values.
     quantile = F.percentile("smooth", F.lit(QUANTILE)).alias("limit")
     rounded = judges.withColumn("smooth", smooth)
-    by_lang = rounded.filter("lang is not null").groupBy(F.col("lang").alias("its_lang")).agg(quantile)
+    # Of fewer documents than this the quantile would be the largest, whatever it is.
+    enough = F.count("*") >= round(1 / (1 - QUANTILE))
+    by_lang = rounded.filter("lang is not null").groupBy(F.col("lang").alias("its_lang")).agg(quantile, enough.alias("enough")).filter("enough").drop("enough")
     general = rounded.agg(quantile).first()[0]
     out = both.withColumn("smooth", smooth).join(by_lang, F.col("lang") == F.col("its_lang"), "left")
     limit = F.coalesce("limit", F.lit(general).cast("double"), F.lit(float("inf")))

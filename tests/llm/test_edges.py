@@ -327,8 +327,10 @@ def test_classifier_of_odd_documents(spark, odd_docs, no_docs, odd_rows):
     assert perplexity.classify(odd_docs, labels.limit(0)).filter("n_bytes > 0 and not kept").count() == 0
 
 
-def test_limits_are_the_quantiles_of_held_out_trusted_documents(spark):
-    """limit and kept of every row against brute force."""
+@pytest.mark.parametrize("share", (0.5, 0.995))
+def test_limits_are_the_quantiles_of_held_out_trusted_documents(spark, share, monkeypatch):
+    """limit and kept of every row against brute force; the larger share needs more documents than a language has."""
+    monkeypatch.setattr(perplexity, "QUANTILE", share)
     rng = random.Random(3)
     rows = [(i, " ".join(rng.choice(("one", "two", "three", "four", "five")) for _ in range(rng.randrange(3, 40))), rng.choice(("en", "de", None))) for i in range(150)]
     rows += [(200, "zq xj kv wq" * 9, "en"), (201, None, "en"), (202, "only one of its kind", "xx")]
@@ -343,7 +345,7 @@ def test_limits_are_the_quantiles_of_held_out_trusted_documents(spark):
     limit = lambda ids: float(np.quantile([smooth[i] for i in ids], perplexity.QUANTILE))
     for i, (x, n, lang) in logs.items():
         own = [j for j in held if logs[j][2] == lang] if lang else []
-        want = limit(own or held)
+        want = limit(own if len(own) >= round(1 / (1 - share)) else held)
         assert abs(math.log(got[i].limit) - want) < 2e-3 and (got[i].perplexity is None) == (n == 0)
         if n and abs(smooth[i] - want) > 4e-3:
             assert got[i].kept == (smooth[i] <= want) and abs(got[i].perplexity - math.exp(-x / n)) < 1e-3 * got[i].perplexity
