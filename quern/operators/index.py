@@ -23,6 +23,8 @@ TOKEN = r"[^\p{L}\p{N}]+"
 STRETCH = 1 << 20
 #: Bytes of a part, and the size from which on an estimate is none.
 PART, UNKNOWN = 64 << 20, 1 << 60
+#: Most parts for each task that runs at once.
+WAVES = 16
 
 
 def estimated_bytes(df: DataFrame) -> int:
@@ -33,15 +35,18 @@ def estimated_bytes(df: DataFrame) -> int:
     return min(int(str(plan.stats().sizeInBytes())), made_of)
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """df in at least as many parts as the session runs at once, and in parts of about PART bytes if it is larger than that.
-
-    By keys, so that grouping by them and others needs no further shuffle. The size is the optimizer's estimate; no job runs.
-    """
+def parts_of(df: DataFrame) -> int:
+    """As many parts as the session runs at once, more of about PART bytes for a larger df, but no more than WAVES times those it
+    runs at once, as an estimate may be far too high. The size is the optimizer's estimate; no job runs."""
     spark = df.sparkSession
+    least = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     size = estimated_bytes(df)
-    parts = size // PART if size < UNKNOWN else 0
-    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), parts), *keys)
+    return min(max(least, size // PART), WAVES * least) if size < UNKNOWN else least
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df in parts_of(df) parts by keys, so that grouping by them and others needs no further shuffle."""
+    return df.repartition(parts_of(df), *keys)
 
 
 def tokens(texts: DataFrame, key: str, text: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.sizes import DISK_BLOCK, read_unit, vbyte_bytes
-from quern.operators.index import PART, UNKNOWN, Index, estimated_bytes, shard_splits
+from quern.operators.index import Index, parts_of, shard_splits
 from quern.session import checkpointed
 
 
@@ -15,10 +15,7 @@ def running_total(df: DataFrame, order: list[Column], value: str, name: str) ->
 
     Rows are dealt by range; each range adds up its own, and the ranges' totals, a row for each partition, are added up.
     """
-    spark = df.sparkSession
-    size = estimated_bytes(df)
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // PART if size < UNKNOWN else 0)
-    dealt = checkpointed(df.repartitionByRange(parts, *order).withColumn("__range", F.spark_partition_id()))
+    dealt = checkpointed(df.repartitionByRange(parts_of(df), *order).withColumn("__range", F.spark_partition_id()))
     before = dealt.groupBy("__range").agg(F.sum(value).alias("__sum"))
     before = before.select("__range", F.coalesce(F.sum("__sum").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
     within = Window.partitionBy("__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
