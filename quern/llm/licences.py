@@ -1,18 +1,21 @@
 """License scans by conditional compression.
 
-A candidate block is a run of lines with a cue word of the templates and lines mostly of the templates' words around it, over lines
-without words. Every part of a block is compressed by itself and with each template as raw zstandard dictionary, in the window over
-a cue that has most of the template's words; the template that saves the largest share is the winner, and what lies before and
-after its window is examined again. So the verdict does not depend on the other text of the line.
+Every cue word of a text has windows over it, each as wide as a template is around that word, up to the template's open places. A
+window is compressed by itself and with each template as raw zstandard dictionary; the templates that save at least WEAK of it are
+winners, the best first. So the verdict does not depend on the other text of the line.
 
 A winner is confirmed by its exact wording only: its words follow each other without one missing and without one in between, but for
-the places that the template leaves open for a party's name or a clause's number, and no negation comes just before. An exact wording
-is what compresses best, so wordings are looked up first, at every place of the whole text, and the compressor gets what they leave;
-of wordings that overlap the longest counts, so that a license is never named by the beginning of another. Reserved rights beside
-a confirmed license of the same block are part of its notice. Everything else is reported unconfirmed, with the words that differ, each
-license once a block.
+the places that the template leaves open for a party's name or a clause's number, and no negation comes just before. No wording is
+looked for where the compressor names no template. An exact wording has its own window, of which its template saves more than WEAK, so
+none is lost; of wordings that overlap the longest counts, so that a license is never named by the beginning of another. Reserved
+rights beside a confirmed license of the same block are part of its notice.
 
-Null and empty texts give no row; neither do windows that share less than
+What the exact wordings leave is compared by blocks: a block is a run of lines with a cue word of the templates and lines mostly of the templates'
+words around it, over lines without words. Every part of a block is compressed in the window over a cue that has most of the template's
+words; the template that saves the largest share is the winner, and what lies before and after its window is examined again. It is
+reported unconfirmed, with the words that differ, each license once a block.
+
+Null and empty texts give no row; neither do windows of a block that share less than
 LEAST with a template, or whose best one saves less than WEAK. Ties go to the template that
 comes first. Repeated rows give repeated results. Texts of any length are read whole, in time proportional to their length.
 """
@@ -20,7 +23,7 @@ comes first. Repeated rows give repeated results. Texts of any length are read w
 from __future__ import annotations
 
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from difflib import SequenceMatcher
 from functools import lru_cache
 from itertools import accumulate, pairwise
@@ -131,6 +134,7 @@ class Template:
         self.runs = [_word(p) for p in parts[::2]]
         self.gaps = parts[1::2]
         self.words = [w for run in self.runs for w in run]
+        self.reach = len(self.words) + sum({"party": PARTY, "number": 1}[gap] for gap in self.gaps)
         self.room = min(MOST_EXTRA, max(EXTRA * len(self.words) // 100, self.gaps.count("party")))
         held = zstandard.ZstdCompressionDict(" ".join(self.words).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         self.compressor = zstandard.ZstdCompressor(dict_data=held, level=LEVEL, write_content_size=False, write_dict_id=False)
@@ -166,13 +170,15 @@ def templates() -> list[Template]:
 
 
 @lru_cache(maxsize=1)
-def _plain() -> tuple[zstandard.ZstdCompressor, frozenset[str], dict[str, list[int]], int]:
-    """The compressor without a dictionary, the templates' words, the templates by first word, and the widest window."""
-    by_first: dict[str, list[int]] = {}
-    for i, t in enumerate(templates()):
-        by_first.setdefault(t.first, []).append(i)
+def _plain() -> tuple[zstandard.ZstdCompressor, frozenset[str], dict[str, list[tuple[int, int]]], int]:
+    """The compressor without a dictionary, the templates' words, by cue the words before it and from it on in a window, and the widest window."""
+    around: dict[str, set[tuple[int, int]]] = {}
+    for run in (run for t in templates() for run in t.runs):
+        for at in _cued(run):
+            around.setdefault(run[at], set()).add((at, len(run) - at))
     vocabulary = frozenset(w for t in templates() for w in t.words)
-    return zstandard.ZstdCompressor(level=LEVEL, write_content_size=False), vocabulary, by_first, max(len(t.words) + t.room for t in templates())
+    places = {w: sorted(found) for w, found in around.items()}
+    return zstandard.ZstdCompressor(level=LEVEL, write_content_size=False), vocabulary, places, max(len(t.words) + t.room for t in templates())
 
 
 def blocks(lines: list[str], words: list[list[str]]) -> Iterator[tuple[int, int]]:
@@ -205,35 +211,57 @@ def differences(template: list[str], words: list[str]) -> tuple[list[str], list[
     return lacks, extra, begin, end
 
 
-def wordings(words: list[str]) -> list[tuple[int, int, int, list[str]]]:
-    """(begin, end, template, words in open places) of the wordings that words hold exactly; they do not overlap."""
-    by_first, known = _plain()[2], templates()
-    found = []
-    for begin, w in enumerate(words):
-        for i in by_first.get(w, ()):
-            hit = known[i].at(words, begin)
-            if hit:
-                found.append((-len(known[i].words), len(hit[1]), i, begin, *hit))
-    taken, out = bytearray(len(words)), []
-    for _, _, i, begin, end, held in sorted(found):
-        if not any(taken[begin:end]):
-            taken[begin:end] = b"\1" * (end - begin)
-            out.append((begin, end, i, held))
-    return sorted(out)
-
-
-def saved(i: int, words: list[str]) -> float:
+def saved(i: int, words: Sequence[str]) -> float:
     """The share of the compressed size of words that a template saves."""
     raw = " ".join(words).encode("utf-8", "surrogatepass")
     return 1 - len(templates()[i].compressor.compress(raw)) / len(_plain()[0].compress(raw))
 
 
-def _cued(words: tuple[str, ...]) -> set[int]:
+def _cued(words: Sequence[str]) -> set[int]:
     """Places of words in which a cue begins."""
     starts = list(accumulate((len(w) + 1 for w in words), initial=0))
     return {bisect_right(starts, m.start()) - 1 for m in _cues(" ".join(words))}
 
 
+@lru_cache(maxsize=4096)
+def winners(window: tuple[str, ...]) -> tuple[int, ...]:
+    """The templates that save enough of a window, the best first. Repeated windows are compressed once, as the last results are held."""
+    raw = " ".join(window).encode("utf-8", "surrogatepass")
+    alone = len(_plain()[0].compress(raw))
+    ranked = sorted((len(t.compressor.compress(raw)), i) for i, t in enumerate(templates()))
+    return tuple(i for left, i in ranked if 100 * (alone - left) >= WEAK * alone)
+
+
+def wordings(words: list[str]) -> list[tuple[int, int, int, list[str]]]:
+    """(begin, end, template, words in open places) of the winners over cues that words hold exactly; they do not overlap."""
+    _, vocabulary, around, _ = _plain()
+    known = templates()
+    # A word longer than the templates' is none of theirs, however it goes on, so its beginning is enough to compress.
+    longest = max(map(len, vocabulary)) + 1
+    begins: dict[str, list[int]] = {t.first: [] for t in known}
+    cues = []
+    for at, w in enumerate(words):
+        if w in begins:
+            begins[w].append(at)
+        if w in around:
+            cues.append(at)
+    found = set()
+    for at in cues:
+        windows = [tuple(w[:longest] for w in words[at - before : at + after]) for before, after in around[words[at]] if before <= at]
+        for i in dict.fromkeys(i for window in windows for i in winners(window)):
+            own = begins[known[i].first]
+            for begin in own[bisect_right(own, at - known[i].reach) : bisect_right(own, at)]:
+                hit = known[i].at(words, begin)
+                if hit and hit[0] > at:
+                    found.add((-len(known[i].words), len(hit[1]), i, begin, hit[0], tuple(hit[1])))
+    taken, out = bytearray(len(words)), []
+    for _, _, i, begin, end, held in sorted(found):
+        if not any(taken[begin:end]):
+            taken[begin:end] = b"\1" * (end - begin)
+            out.append((begin, end, i, list(held)))
+    return sorted(out)
+
+
 @lru_cache(maxsize=1024)
 def guess(words: tuple[str, ...]) -> tuple[int, float, int, int] | None:
     """(template, share saved, begin, end) of the window over a cue that a template saves most of, if it is enough.

@@ -673,6 +673,49 @@ def test_a_change_of_any_word_is_not_confirmed():
                 assert "zebra" not in held and {licences.templates()[i].license for _, _, i, _ in own} <= {name}
 
 
+def test_licenses_come_from_the_compressor(monkeypatch):
+    """No wording is confirmed where its template saves nothing: only those of one license remain if only its templates have dictionaries."""
+    text, everything = "\n".join(w for _, w in all_wordings()), {name for name, _ in all_wordings()} - {"Proprietary"}
+
+    def confirmed():
+        licences.winners.cache_clear()
+        licences.guess.cache_clear()
+        return {name for name, sure in licenses_of(text) if sure}
+
+    try:
+        for only in ("MIT", "none"):
+            with monkeypatch.context() as patch:
+                for t in licences.templates():
+                    if t.license != only:
+                        patch.setattr(t, "compressor", licences._plain()[0])
+                assert confirmed() == {only} & everything
+    finally:
+        assert confirmed() == everything
+
+
+def test_the_compressor_loses_no_wording():
+    """Brute force over every place and template, with open places that hold up to twelve words of any kind and length."""
+    import random
+
+    draw, known = random.Random(1), licences.templates()
+    for i, t in enumerate(known):
+        assert any(i in licences.winners(tuple(run)) for run in t.runs)
+    words = sorted({w for t in known for w in t.words})
+    kinds = (words, sorted(words, key=len)[-12:], ["".join(draw.choices("abcdefgh", k=300)) for _ in range(20)], list(known[0].words), ["grain", "license", "copyright"])
+    for _ in range(150):
+        text = []
+        for t in draw.choices(known, k=4):
+            text += draw.choices(draw.choice(kinds), k=draw.randrange(6))
+            for gap, run in zip([*t.gaps, ""], t.runs, strict=True):
+                text += run + (draw.choices(draw.choice(kinds), k=draw.randrange(13)) if gap == "party" else [draw.choice(("1", "iv"))] if gap else [])
+        hits = [(-len(t.words), len(h[1]), i, at, *h) for at in range(len(text)) for i, t in enumerate(known) if (h := t.at(text, at))]
+        want: list[tuple] = []
+        for _, _, i, begin, end, held in sorted(hits):
+            if all(end <= b or e <= begin for b, e, _, _ in want):
+                want.append((begin, end, i, held))
+        assert licences.wordings(text) == sorted(want)
+
+
 def test_siblings_and_negations():
     names = {n: [w for k, w in all_wordings() if k == n] for n in ("GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0")}
     for name, forms in names.items():
