@@ -20,7 +20,7 @@ import numpy as np
 import regex
 from pyspark.sql import DataFrame
 
-from quern.llm.text import by_rows
+from quern.llm.text import by_rows, held
 
 #: Most states of the transducer, most remembered chunks of text, and the longest chunk that is remembered.
 MOST_STATES, MOST_CHUNKS, LONGEST_CHUNK = 250_000, 200_000, 32
@@ -32,6 +32,8 @@ UNSIGNED = "I"
 assert array(UNSIGNED, [1]).tobytes() == b"\x01\0\0\0"
 #: Tokens that the decoder takes at once.
 BLOCK = 65_536
+#: Keeps the machines of a Python worker.
+OWNER = "bpe"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -375,16 +377,14 @@ class Decoder:
         return b"".join(parts), self.valid
 
 
-_machines: dict[type, tuple[str, object]] = {}
-
-
 def _machine(kind: type, sent, name: str, *more):
     """The machine of this Python worker for a broadcast vocabulary, made once; machines only remember what they would
     compute again."""
-    if kind not in _machines or _machines[kind][0] != name:
+    machines: dict[type, tuple[str, object]] = held(OWNER)
+    if kind not in machines or machines[kind][0] != name:
         ranks, made = sent.value
-        _machines[kind] = name, kind(ranks, *more, *([made] if kind is Encoder else []))
-    return _machines[kind][1]
+        machines[kind] = name, kind(ranks, *more, *([made] if kind is Encoder else []))
+    return machines[kind][1]
 
 
 def _sent(df: DataFrame, path: str, compiled: bool):
@@ -407,7 +407,7 @@ def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
         packed = [machine.encode(t) for t in texts]
         return [[len(p) // 4 for p in packed], packed]
 
-    return by_rows(docs, [text], [key, *carry], work, "n_tokens long, ids binary")
+    return by_rows(docs, [text], [key, *carry], work, "n_tokens long, ids binary", OWNER)
 
 
 def decode(tokens: DataFrame, path: str, ids: str = "ids", carry: tuple[str, ...] = ()) -> DataFrame:
@@ -418,7 +418,7 @@ def decode(tokens: DataFrame, path: str, ids: str = "ids", carry: tuple[str, ...
         machine = _machine(Decoder, sent, name)
         return list(map(list, zip(*(machine.decode(p or b"") for p in packed), strict=True)))
 
-    return by_rows(tokens, [ids], list(carry), work, "decoded binary, valid boolean")
+    return by_rows(tokens, [ids], list(carry), work, "decoded binary, valid boolean", OWNER)
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
@@ -431,4 +431,4 @@ def round_trip(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", te
         decoded = [decoder.decode(p) for p in packed]
         return [[len(p) // 4 for p in packed], packed, [d for d, _ in decoded], [v for _, v in decoded]]
 
-    return by_rows(docs, [text], [key, *carry], work, "n_tokens long, ids binary, decoded binary, valid boolean")
+    return by_rows(docs, [text], [key, *carry], work, "n_tokens long, ids binary, decoded binary, valid boolean", OWNER)

@@ -29,8 +29,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm.components import components
-from quern.llm.text import by_rows, positional
-from quern.session import checkpointed, ship
+from quern.llm.text import ROWS, by_rows, positional
+from quern.session import arrow_rows, checkpointed, ship
 
 SEED = 42
 
@@ -154,7 +154,8 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", rule: Rul
     """docs with one row of each component: that with the smallest key (of rows that share it, the smallest text hash)."""
     plain, restored = positional(docs)
     k, t = (f"__{docs.columns.index(c)}" for c in (key, text))
-    rows = checkpointed(fingerprints(plain.withColumn("version", F.xxhash64(t)), k, t, ("version",), rule))
+    with arrow_rows(docs.sparkSession, ROWS):
+        rows = checkpointed(fingerprints(plain.withColumn("version", F.xxhash64(t)), k, t, ("version",), rule))
     known = near_duplicates(rows, k, rule)
     best = known.groupBy("root").agg(F.min(F.struct(F.col(k).isNull(), F.col(k).alias("key"), F.col("version").alias("version"))).alias("best")).select("best.key", "best.version")
     met = plain.withColumn("version", F.xxhash64(t)).join(best, F.col(k).eqNullSafe(best["key"]) & (F.xxhash64(t) == best["version"])).select(*plain.columns, best["version"])

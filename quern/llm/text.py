@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -42,12 +43,30 @@ def dealt(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if small and 0 < len(df.inputFiles()) < cores else df
 
 
-def by_rows(df: DataFrame, inputs: list[str], kept: list[str], work: Callable[..., list[list]], made: str) -> DataFrame:
+_held: dict[str, dict] = {}
+
+
+def held(owner: str) -> dict:
+    """What the tasks of owner keep in this Python worker for those that follow.
+
+    Spark gives a worker to the tasks of any stage, so what others kept goes: else the machines of a stage that is over take their
+    memory beside the work of the next one for as long as the worker lives.
+    """
+    if others := _held.keys() - {owner}:
+        for k in others:
+            del _held[k]
+        gc.collect()  # machines refer to themselves
+        for pool in (pa.default_memory_pool(), pa.system_memory_pool()):
+            pool.release_unused()  # Arrow and the C library keep what is freed, too
+    return _held.setdefault(owner, {})
+
+
+def by_rows(df: DataFrame, inputs: list[str], kept: list[str], work: Callable[..., list[list]], made: str, owner: str = "") -> DataFrame:
     """The kept columns and those of the DDL string made, which work returns for slices of at most ROWS rows.
 
     work gets the inputs as one list each. Kept columns pass through as Arrow buffers, but for those that are called like a column of
     made, which are left out. mapInArrow, so there is no shuffle, no
-    state between rows, and a lost executor only repeats its own tasks.
+    state between rows, and a lost executor only repeats its own tasks. owner names what work keeps with held().
     """
     ship(df.sparkSession)
     new = StructType.fromDDL(made)
@@ -58,6 +77,7 @@ def by_rows(df: DataFrame, inputs: list[str], kept: list[str], work: Callable[..
     n_kept = [both.index(c) for c in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held(owner)
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)

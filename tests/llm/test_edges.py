@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -747,3 +748,31 @@ def test_repeated_notices_take_linear_time():
 def test_rows_keep_their_order_and_types(odd_docs, odd_rows):
     got = by_rows(odd_docs, ["text"], ["doc_id", "n_chars"], lambda t: [[len(x or "") for x in t]], "n long").collect()
     assert Counter((r.doc_id, r.n_chars, r.n) for r in got) == Counter((r[0], r[4], len(r[1] or "")) for r in odd_rows)
+
+
+def test_machines_of_a_stage_go_when_the_worker_serves_another(spark):
+    docs = spark.range(0, 64, 1, 8).select(F.col("id").alias("doc_id"), F.lit("some words").alias("text"))
+    bpe.round_trip(docs, PATH, PATTERN).collect()
+
+    def alive(texts):
+        import gc
+
+        return [[sum(type(x).__name__ == "Transducer" for x in gc.get_objects())] * len(texts)]
+
+    assert {r.n for r in by_rows(docs, ["text"], ["doc_id"], alive, "n long").collect()} == {0}
+    assert {r.n for r in by_rows(docs, ["text"], ["doc_id"], alive, "n long", bpe.OWNER).collect()} == {0}
+
+
+def test_near_duplicates_send_few_rows_in_a_batch(spark, monkeypatch):
+    """The rows of the batches that the fingerprints are made of, written in their place."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, real, seen = spark.conf.get(name), simhash.checkpointed, []
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([b.num_rows] * b.num_rows, pa.int64())], names=["__0", "version", "fp"])
+
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, k, t, carry, rule: docs.select(k, "version").mapInArrow(sizes, "`__0` long, version long, fp long"))
+    monkeypatch.setattr(simhash, "checkpointed", lambda df: seen.append(real(df)) or seen[-1])
+    simhash.keep_one(spark.range(0, 3000, 1, 1).select(F.col("id").alias("doc_id"), F.lit("a text").alias("text")))
+    assert seen[0].agg(F.max("fp")).first()[0] == 256 and spark.conf.get(name) == before
