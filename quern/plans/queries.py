@@ -103,7 +103,7 @@ _top("bmw_topk", strategy="bmw")
 @query
 def basket_and_count(spark, sf_dir):
     wanted = basket_query_terms(spark, sf_dir)
-    return boolean.and_count(basket_index(spark, sf_dir), wanted, wanted)
+    return boolean.and_count(basket_index(spark, sf_dir), wanted, wanted, short=True)
 
 
 @query

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quern.operators import ranked
+from quern.operators import boolean, ranked
 from quern.operators.index import from_tokens
 
 
@@ -35,3 +35,17 @@ def test_short_strategy_adds_up_few_of_the_pairs_with_a_common_term(spark):
     met = ranked.short_pairs(index, asked, 10)
     assert met.count() < 0.5 * pairs
     assert met.filter("qid = doc_id").select("qid").distinct().count() == 3000
+
+
+def test_short_and_counts_like_the_plain_one(spark):
+    index, asked = short_documents(spark, 3)
+    queries = spark.range(200).select(F.col("id").alias("qid"))
+    got, want = [sorted(map(tuple, boolean.and_count(index, queries, asked, with_freqs=True, short=s).collect())) for s in (True, False)]
+    assert got == want and any(r[1] for r in got)
+
+
+def test_short_and_meets_one_list_of_a_query(spark):
+    """Before, a query met the lists of all its terms, and the pairs of all were counted."""
+    index, asked = short_documents(spark, 4)
+    pairs = asked.join(index.postings, "term").count()
+    assert boolean.whole_candidates(index, asked).count() < 0.5 * pairs
