@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.operators.index import Index, marked, parts_of
+from quern.operators.index import Index, marked
 
 
 def _matches(index: Index, query_terms: DataFrame, by_shard: bool = False) -> tuple[list[str], DataFrame, DataFrame]:
@@ -30,7 +30,7 @@ def whole_candidates(index: Index, query_terms: DataFrame) -> DataFrame:
 
     A query meets the list of its rarest term only, and there the documents whose marks hold its own; few others do.
     """
-    wanted = query_terms.select("qid", "term").distinct().repartition(parts_of(index.postings), "qid")
+    wanted = index.dealt(query_terms.select("qid", "term").distinct(), "qid")
     order = Window.partitionBy("qid").orderBy(F.coalesce("df", F.lit(0)), "term")
     rarest = marked(wanted, "qid").join(index.terms.select("term", "df"), "term", "left").withColumn("turn", F.row_number().over(order)).filter("turn = 1")
     asks = rarest.select("qid", "term", F.col("n_terms").alias("needed"), F.col("mark1").alias("asks1"), F.col("mark2").alias("asks2"))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from quern.functions.scoring import Bm25, Scorer
 from quern.functions.sizes import vbyte_bytes
+from quern.session import checkpointed
 
 BLOCK, SHARDS, K = 128, 8, 10
 #: Neighbouring document numbers of a cell, the unit in which ranked queries skip documents.
@@ -25,6 +26,10 @@ STRETCH = 1 << 20
 PART, UNKNOWN = 64 << 20, 1 << 60
 #: Most parts for each task that runs at once.
 WAVES = 16
+#: Bytes of a table's files in a part of a collection. A part's rows with queries' terms are added up in the memory of one task.
+INPUT_PART = 8 << 20
+#: Most rows of a batch's query terms that are sent to all tasks; they are counted before.
+FEW = 1 << 17
 
 
 def estimated_bytes(df: DataFrame) -> int:
@@ -35,18 +40,27 @@ def estimated_bytes(df: DataFrame) -> int:
     return min(int(str(plan.stats().sizeInBytes())), made_of)
 
 
-def parts_of(df: DataFrame) -> int:
-    """As many parts as the session runs at once, more of about PART bytes for a larger df, but no more than WAVES times those it
+def parts_of(df: DataFrame, part: int = PART) -> int:
+    """As many parts as the session runs at once, more of about part bytes for a larger df, but no more than WAVES times those it
     runs at once, as an estimate may be far too high. The size is the optimizer's estimate; no job runs."""
     spark = df.sparkSession
     least = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     size = estimated_bytes(df)
-    return min(max(least, size // PART), WAVES * least) if size < UNKNOWN else least
+    return min(max(least, size // part), WAVES * least) if size < UNKNOWN else least
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """df in parts_of(df) parts by keys, so that grouping by them and others needs no further shuffle."""
-    return df.repartition(parts_of(df), *keys)
+def spread(df: DataFrame, *keys: str, part: int = PART) -> DataFrame:
+    """df in parts_of(df, part) parts by keys, so that grouping by them and others needs no further shuffle."""
+    return df.repartition(parts_of(df, part), *keys)
+
+
+def few(df: DataFrame) -> DataFrame:
+    """df, which must be cheap to count, to be sent to all tasks if it has no more than FEW rows.
+
+    A table with the lists of a batch's terms then stays where it lies: by documents, so that sums by document need no shuffle, and a
+    term that every document holds is not one task's.
+    """
+    return df.hint("broadcast") if df.limit(FEW + 1).count() <= FEW else df
 
 
 #: Where the bits of a hash begin that choose a bit of each mark.
@@ -79,8 +93,8 @@ def others(rows: DataFrame, key: str) -> DataFrame:
 
 def tokens(texts: DataFrame, key: str, text: str) -> DataFrame:
     """(doc_id, term), a row for each token of the lower-case text; null and empty texts have none."""
-    parts = F.explode(F.split(F.lower(text), TOKEN))
-    return spread(texts.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), "doc_id").select("doc_id", parts.alias("term")).filter("term <> ''")
+    parts = F.explode(F.split(F.lower("text"), TOKEN))
+    return spread(texts.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), "doc_id", part=INPUT_PART).select("doc_id", parts.alias("term")).filter("term <> ''")
 
 
 def count_tokens(found: DataFrame) -> DataFrame:
@@ -100,6 +114,8 @@ class Index:
     k: int = K
     cuts: list[int] | None = None
     held: bool = False
+    #: Parts in which its postings are dealt; by an estimate if None.
+    parts: int | None = None
 
     @cached_property
     def _facts(self) -> tuple[int, float, int, int]:
@@ -115,6 +131,10 @@ class Index:
         """The number after the last document's."""
         return self._facts[3] + 1
 
+    def dealt(self, rows: DataFrame, *keys: str) -> DataFrame:
+        """rows, about as many as postings, in parts by keys."""
+        return rows.repartition(self.parts or parts_of(self.postings), *keys)
+
     @property
     def lengths(self) -> DataFrame:
         """docs with `norm_len`, the length relative to the mean over all documents."""
@@ -148,14 +168,14 @@ class Index:
 
         What a query needs of terms, blocks and thresholds is then computed from its own lists alone.
         """
-        terms = wanted.select("term").distinct()
-        part = Index(self.postings.join(terms, "term", "left_semi"), self.docs, self.scorer, self.shards, self.block, self.k, self.cuts)
+        terms = few(checkpointed(wanted.select("term").distinct()))
+        part = Index(self.postings.join(terms, "term", "left_semi"), self.docs, self.scorer, self.shards, self.block, self.k, self.cuts, parts=self.parts)
         part._facts = self._facts
-        part.weighted = self.weighted.join(terms, "term", "left_semi")
         if self.held:
-            part.terms = self.terms.join(terms, "term", "left_semi")
-            part.blocks = self.blocks.join(terms, "term", "left_semi")
-            part.cells = self.cells.join(terms, "term", "left_semi")
+            part.weighted = self.weighted.join(terms, "term", "left_semi")
+            for name in ("terms", "blocks", "cells"):
+                if name in self.__dict__:  # some query has asked for those of all lists
+                    setattr(part, name, self.__dict__[name].join(terms, "term", "left_semi"))
         return part
 
     def bounds(self) -> list[int]:
@@ -196,7 +216,7 @@ class Index:
         """
         bounds = self.bounds()
         width = max(1, min(STRETCH, -(-(bounds[-1] - bounds[0]) // self.shards)))
-        own = self.weighted.withColumn("range", F.expr(f"(doc_id - {bounds[0]}) div {width}"))
+        own = self.dealt(self.weighted.withColumn("range", F.expr(f"(doc_id - {bounds[0]}) div {width}")), "term", "range")
         order = Window.partitionBy("term").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
         parts = own.groupBy("term", "range").agg(F.count("*").alias("n"), F.max("doc_id").alias("last"))
         starts = parts.select("term", "range", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("start"), F.coalesce(F.max("last").over(order), F.lit(-1)).alias("before"))
@@ -217,7 +237,7 @@ class Index:
     @cached_property
     def cells(self) -> DataFrame:
         """(term, cell, max_weight): the largest weight of a term among the documents of a cell."""
-        rows = self.weighted.groupBy("term", F.expr(f"doc_id div {CELL}").alias("cell")).agg(F.max("weight").alias("max_weight"))
+        rows = by_cell(self).groupBy("term", "cell").agg(F.max("weight").alias("max_weight"))
         return rows.persist() if self.held else rows
 
     def kth_weights(self, by_shard: bool = False, k: int | None = None) -> DataFrame:
@@ -247,18 +267,26 @@ class Index:
         return cls(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/docs"), **more)
 
 
+def by_cell(index: Index) -> DataFrame:
+    """(term, doc_id, weight, cell), dealt by cell."""
+    return index.dealt(index.weighted.select("term", "doc_id", "weight", F.expr(f"doc_id div {CELL}").alias("cell")), "cell")
+
+
 def from_texts(texts: DataFrame, key: str, text: str, **more) -> Index:
     """A collection of the tokens of texts; documents without a token count with length 0."""
     postings = count_tokens(tokens(texts, key, text))
-    own = postings.groupBy("doc_id").agg(F.sum("freq").alias("len"))
+    # Lengths are counted where the texts lie, so that only their numbers are shuffled.
+    words = F.size(F.filter(F.split(F.lower(text), TOKEN), lambda x: x != ""))
+    rows = texts.select(F.col(key).alias("doc_id"), F.when(F.col(text).isNull(), 0).otherwise(words).cast("long").alias("len"))
+    own = rows.groupBy("doc_id").agg(F.sum("len").alias("len"))
     docs = texts.select(F.col(key).alias("doc_id")).join(own, "doc_id", "left").select("doc_id", F.coalesce("len", F.lit(0)).alias("len"))
-    return Index(postings, docs, **more)
+    return Index(postings, docs, **({"parts": parts_of(texts, INPUT_PART)} | more))
 
 
 def from_tokens(found: DataFrame, **more) -> Index:
     """A collection of rows (doc_id, term), one for each occurrence; only documents that have one are known."""
-    postings = count_tokens(spread(found, "doc_id"))
-    return Index(postings, postings.groupBy("doc_id").agg(F.sum("freq").alias("len")), **more)
+    postings = count_tokens(spread(found, "doc_id", part=INPUT_PART))
+    return Index(postings, postings.groupBy("doc_id").agg(F.sum("freq").alias("len")), **({"parts": parts_of(found, INPUT_PART)} | more))
 
 
 def balanced_cuts(index: Index, shards: int = SHARDS) -> list[int]:

@@ -2,11 +2,14 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from quern.operators import boolean, ranked
-from quern.operators.index import from_tokens
+from quern.operators.index import from_texts, from_tokens
+from quern.plans.workload import text_index, text_query_terms
+from quern.sources.binary import BinaryReader
 
 
 def short_documents(spark, seed):
@@ -49,3 +52,62 @@ def test_short_and_meets_one_list_of_a_query(spark):
     index, asked = short_documents(spark, 4)
     pairs = asked.join(index.postings, "term").count()
     assert boolean.whole_candidates(index, asked).count() < 0.5 * pairs
+
+
+def plan_of(df):
+    """A line for each step of the plan that Spark begins with; what is held is one step."""
+    nodes, out = [df._jdf.queryExecution().executedPlan().initialPlan()], []
+    while nodes:
+        node = nodes.pop()
+        out.append(node.simpleString(1000))
+        nodes += [node.children().apply(i) for i in range(node.children().size())]
+    return "\n".join(out)
+
+
+@pytest.mark.parametrize("mode", ["or", "and"])
+def test_ranked_sums_need_no_shuffle_of_lists(spark, sf_dir, mode):
+    """Query terms are sent to the lists, which lie by documents; before, lists were shuffled by term and sums by query and document."""
+    own, asked = text_index(spark, sf_dir), text_query_terms(spark, sf_dir)
+    plan = plan_of(ranked.topk(own, asked, mode=mode))
+    assert plan.count("Exchange hashpartitioning(") == 1 and "Exchange hashpartitioning(qid" in plan
+    assert "SortMergeJoin" not in plan
+
+
+def test_terms_of_a_query_are_counted_from_its_own_lists(spark, sf_dir):
+    """Before, the terms, blocks and cells of all lists were made, as the collection is held."""
+    index = from_texts(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text").keep()
+    own = index.only(text_query_terms(spark, sf_dir))
+    assert own.blocks.count() and own.cells.count() and own.terms.count() < index.postings.select("term").distinct().count()
+    assert not {"terms", "blocks", "cells"} & set(index.__dict__)
+    index.drop()
+
+
+@pytest.mark.parametrize("strategy", ["wand", "bmw"])
+def test_cells_are_dealt_once_for_bounds_and_once_for_sums(spark, sf_dir, strategy):
+    """Before, bounds were shuffled by query and cell, postings by term and cell, and sums by query and document."""
+    plan = plan_of(ranked.topk(text_index(spark, sf_dir), text_query_terms(spark, sf_dir), strategy=strategy))
+    assert "hashpartitioning(term" not in plan and plan.count("Exchange hashpartitioning(cell") == 2 and plan.count("Exchange hashpartitioning(") == 3
+
+
+def test_many_query_terms_are_not_sent(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr("quern.operators.index.FEW", 100)
+    own, asked = text_index(spark, sf_dir), text_query_terms(spark, sf_dir)
+    got = [sorted(map(tuple, ranked.topk(own, asked, strategy=s).collect())) for s in ("exhaustive", "bmw")]
+    monkeypatch.undo()
+    assert got == [sorted(map(tuple, ranked.topk(own, asked).collect()))] * 2
+
+
+def test_documents_and_lists_are_made_of_one_shuffle_of_texts(spark, sf_dir):
+    """Lengths are counted where the texts lie; before, texts were shuffled for lengths and again for postings."""
+    index = from_texts(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text")
+    assert not [x for x in plan_of(index.docs).splitlines() if "Exchange" in x and "text" in x]
+    texts = spark.createDataFrame([(1, "One two, two"), (2, None), (3, " ;"), (1, "three"), (None, "four")], "doc_id long, text string")
+    assert sorted(map(tuple, from_texts(texts, "doc_id", "text").docs.filter("doc_id is not null").collect())) == [(1, 4), (1, 4), (2, 0), (3, 0)]
+
+
+def test_short_sequences_are_read_many_in_a_batch(tmp_path):
+    """Before, each sequence was a batch of its own, and a task of 32 MB had millions."""
+    (tmp_path / "s").write_bytes(np.array([[1, i] for i in range(10_000)], "<u4").tobytes())
+    reader = BinaryReader({"path": str(tmp_path / "s"), "kind": "sequences", "dtype": "<u4"})
+    batches = [b for p in reader.partitions() for b in reader.read(p)]
+    assert len(batches) == 1 and batches[0].to_pydict() == {"seq": list(range(10_000)), "pos": [0] * 10_000, "value": list(range(10_000))}
