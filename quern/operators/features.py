@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.operators.index import Index
+from quern.operators.index import Index, few
 from quern.session import checkpointed
 
 #: Features of a term, in the order of the output.
@@ -40,7 +40,7 @@ def _near(index: Index, base: DataFrame, compat: str) -> DataFrame:
 
     With compat "docid" it is the document's number that is compared with those scores.
     """
-    terms = base.select("term", "unit", "max_weight", "thresh").distinct()
+    terms = few(base.select("term", "unit", "max_weight", "thresh").distinct())
     value = F.col("doc_id") if compat == "docid" else F.col("unit") * F.col("weight")
     met = index.weighted.select("term", "doc_id", "weight").join(terms, "term").withColumn("shard_id", index.shard(F.col("doc_id")))
     return met.groupBy("term", "shard_id").agg(
@@ -50,7 +50,7 @@ def _near(index: Index, base: DataFrame, compat: str) -> DataFrame:
 
 def _blocks(index: Index, base: DataFrame) -> DataFrame:
     """(qid, term, shard_id, block score) of every block of every query term, with the term's mean."""
-    rows = index.blocks.select("term", "max_weight", index.shard(F.col("last_doc")).alias("shard_id")).withColumnRenamed("max_weight", "block_weight")
+    rows = checkpointed(index.blocks.select("term", F.col("max_weight").alias("block_weight"), index.shard(F.col("last_doc")).alias("shard_id")))
     means = rows.groupBy("term").agg(F.avg("block_weight").alias("mean_weight"))
     score = lambda c: F.col("qtf") * (F.col("unit") * F.col(c))
     return base.select("qid", "term", "qtf", "unit", "query_topk").join(rows, "term").join(means, "term").select("qid", "term", "shard_id", "query_topk", score("block_weight").alias("score"), score("mean_weight").alias("mean"))
@@ -59,6 +59,7 @@ def _blocks(index: Index, base: DataFrame) -> DataFrame:
 def term_features(index: Index, query_terms: DataFrame, compat: str = "score") -> DataFrame:
     """(qid, term, term_count, query_topk_score and the features of ALL)."""
     index = index.only(query_terms)
+    index.weighted = checkpointed(index.weighted)  # the queries' own lists, read by every feature
     # Both have a row for each query term, or for each of its blocks, and are read several times.
     base = checkpointed(_base(index, query_terms))
     blocks = checkpointed(_blocks(index, base))
