@@ -343,10 +343,9 @@ def codec_roundtrip(spark, sf_dir):
     rows = basket_index(spark, sf_dir).positioned
     lists = rows.groupBy("term", "block_id").agg(F.sort_array(F.collect_list(F.struct("ordinal", (F.col("doc_id") - F.col("prev_doc") - 1).alias("gap"), (F.col("freq") - 1).alias("rest")))).alias("s"))
     values = ix.spread(lists.select(F.concat("s.gap", "s.rest").alias("v")))
-    tests = [values.select(F.lit(c).alias("codec"), F.size("v").alias("n"), (decoded(coded(F.col("v"), c), F.size("v"), c) == F.col("v")).alias("same")) for c in CODECS]
-    out = tests[0]
-    for t in tests[1:]:
-        out = out.union(t)
+    # All codes in one pass, so that blocks are made once.
+    tests = values.select(F.size("v").alias("n"), *[(decoded(coded(F.col("v"), c), F.size("v"), c) == F.col("v")).alias(c) for c in CODECS])
+    out = tests.select("n", F.inline(F.array(*[F.struct(F.lit(c).alias("codec"), F.col(c).alias("same")) for c in CODECS])))
     return out.groupBy("codec").agg(F.count("*").alias("n_blocks"), F.sum("n").alias("n_values"), F.count_if("same").alias("n_equal"))
 
 
