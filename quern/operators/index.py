@@ -22,6 +22,8 @@ CELL = 16
 TOKEN = r"[^\p{L}\p{N}]+"
 #: Most documents of a range in which the postings of a list are counted by one task.
 STRETCH = 1 << 20
+#: Most postings of a list that is counted whole by one task.
+HEAVY = 1 << 18
 #: Bytes of a part, and the size from which on an estimate is none.
 PART, UNKNOWN = 64 << 20, 1 << 60
 #: Most parts for each task that runs at once.
@@ -159,7 +161,7 @@ class Index:
     def drop(self) -> None:
         """Lets go of what keep() holds."""
         self.held = False
-        for name in ("weighted", "docs", "terms", "blocks", "cells"):
+        for name in ("weighted", "docs", "terms", "blocks", "cells", "kths"):
             if name in self.__dict__:
                 self.__dict__[name].unpersist()
 
@@ -212,17 +214,24 @@ class Index:
     def positioned(self) -> DataFrame:
         """Weighted postings with `ordinal` in their list, `prev_doc` (-1 for the first) and `block_id`.
 
-        Lists are counted by ranges of documents, a shard or STRETCH numbers wide, so no task counts more postings of a list than that.
+        Lists of more than HEAVY postings are counted by ranges of documents, a shard or STRETCH numbers wide, so no task counts more
+        postings of a list than that; their ranges' totals, few rows, are sent to all tasks.
         """
         bounds = self.bounds()
         width = max(1, min(STRETCH, -(-(bounds[-1] - bounds[0]) // self.shards)))
-        own = self.dealt(self.weighted.withColumn("range", F.expr(f"(doc_id - {bounds[0]}) div {width}")), "term", "range")
-        order = Window.partitionBy("term").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-        parts = own.groupBy("term", "range").agg(F.count("*").alias("n"), F.max("doc_id").alias("last"))
-        starts = parts.select("term", "range", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("start"), F.coalesce(F.max("last").over(order), F.lit(-1)).alias("before"))
-        within = Window.partitionBy("term", "range").orderBy("doc_id")
-        met = own.withColumn("turn", F.row_number().over(within) - 1).withColumn("prev", F.lag("doc_id").over(within)).join(starts, ["term", "range"])
-        placed = met.withColumn("ordinal", F.col("start") + F.col("turn")).withColumn("prev_doc", F.coalesce("prev", "before"))
+        heavy = checkpointed(self.terms.filter(F.col("df") > HEAVY).select("term", F.lit(True).alias("heavy")))
+        keys, own = ["term"], self.weighted
+        if heavy.take(1):
+            keys = ["term", "range"]
+            own = own.join(few(heavy), "term", "left").withColumn("range", F.when(F.col("heavy"), F.expr(f"(doc_id - {bounds[0]}) div {width}"))).drop("heavy")
+            order = Window.partitionBy("term").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+            parts = own.filter("range is not null").groupBy("term", "range").agg(F.count("*").alias("n"), F.max("doc_id").alias("last"))
+            starts = few(checkpointed(parts.select("term", "range", F.sum("n").over(order).alias("start"), F.max("last").over(order).alias("before"))))
+        within = Window.partitionBy(*keys).orderBy("doc_id")
+        placed = self.dealt(own, *keys).withColumn("ordinal", F.row_number().over(within) - 1).withColumn("prev_doc", F.lag("doc_id").over(within))
+        if len(keys) > 1:
+            placed = placed.join(starts, keys, "left").withColumn("ordinal", F.coalesce("start", F.lit(0)) + F.col("ordinal")).withColumn("prev_doc", F.coalesce("prev_doc", "before"))
+        placed = placed.withColumns({"ordinal": F.col("ordinal").cast("long"), "prev_doc": F.coalesce("prev_doc", F.lit(-1))})
         return placed.select("term", "doc_id", "freq", "weight", "ordinal", "prev_doc", F.expr(f"ordinal div {self.block}").alias("block_id"))
 
     @cached_property
@@ -248,13 +257,19 @@ class Index:
         k = k or self.k
         return rows.select(*keys, "weight", "doc_id").withColumn("turn", F.row_number().over(order)).filter(F.col("turn") <= k).filter(F.col("turn") == k).select(*keys, F.col("weight").alias("kth_weight"))
 
+    @cached_property
+    def kths(self) -> DataFrame:
+        """kth_weights() of whole lists."""
+        rows = self.kth_weights()
+        return rows.persist() if self.held else rows
+
     def thresholds(self, by_shard: bool = False) -> DataFrame:
         """(term, [shard_id,] thresh): the k-th best score that a single occurrence of the term gives; 0 if there is none."""
         keys = ["term", "shard_id"] if by_shard else ["term"]
         every = self.terms.select("term", "df")
         if by_shard:
             every = every.select("*", F.explode(F.array(*map(F.lit, range(len(self.bounds()) - 1)))).alias("shard_id"))
-        met = every.join(self.kth_weights(by_shard), keys, "left")
+        met = every.join(self.kth_weights(by_shard) if by_shard else self.kths, keys, "left")
         return met.select(*keys, F.coalesce(self.unit_weight(F.col("df")) * F.col("kth_weight"), F.lit(0.0)).alias("thresh"))
 
     def save(self, path: str) -> None:
