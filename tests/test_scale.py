@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 
 from quern.operators import boolean, ranked
 from quern.operators.index import from_texts, from_tokens
+from quern.plans.queries import QUERIES
 from quern.plans.workload import text_index, text_query_terms
+from quern.sources import files
 from quern.sources.binary import BinaryReader
+from quern.sources.files import write_sequences
 
 
 def short_documents(spark, seed):
@@ -111,3 +114,48 @@ def test_short_sequences_are_read_many_in_a_batch(tmp_path):
     reader = BinaryReader({"path": str(tmp_path / "s"), "kind": "sequences", "dtype": "<u4"})
     batches = [b for p in reader.partitions() for b in reader.read(p)]
     assert len(batches) == 1 and batches[0].to_pydict() == {"seq": list(range(10_000)), "pos": [0] * 10_000, "value": list(range(10_000))}
+
+
+@pytest.mark.parametrize("heavy", [0, 20, 1 << 18])
+def test_places_in_lists_counted_whole_or_by_ranges(spark, monkeypatch, heavy):
+    monkeypatch.setattr("quern.operators.index.HEAVY", heavy)
+    rng = random.Random(heavy)
+    found = {(rng.randrange(5, 900), min(int(rng.paretovariate(0.5)), 60)) for _ in range(1500)}
+    rows = from_tokens(spark.createDataFrame(sorted(found), "doc_id long, term long")).positioned.select("term", "doc_id", "ordinal", "prev_doc").collect()
+    lists = {}
+    for d, t in sorted(found):
+        lists.setdefault(t, []).append(d)
+    want = [(t, d, i, ds[i - 1] if i else -1) for t, ds in lists.items() for i, d in enumerate(ds)]
+    assert sorted(map(tuple, rows)) == sorted(want)
+
+
+def test_places_and_blocks_of_lists_take_one_shuffle(spark, sf_dir):
+    """Before, postings, ranges and their totals were shuffled and joined, and blocks were shuffled again."""
+    assert plan_of(text_index(spark, sf_dir).positioned.groupBy("term", "block_id").count()).count("Exchange ") == 1
+
+
+def test_every_code_in_one_pass(spark, sf_dir):
+    """Before, blocks were made anew for each code."""
+    plan = plan_of(QUERIES["codec_roundtrip"](spark, sf_dir))
+    assert plan.count("Union") == 0 and plan.count("InMemoryTableScan") + plan.count("Scan ") <= 2
+
+
+def test_sequences_with_a_length_are_not_counted(spark, tmp_path):
+    """Files of postings have the length of each list; before, places were made a second time to count them."""
+    rows = spark.createDataFrame([(s, p, 10 * s + p) for s in range(4) for p in range(s + 1)], "seq long, pos long, value long")
+    write_sequences(rows, str(tmp_path / "counted"))
+    write_sequences(rows.withColumn("length", F.col("seq") + 1), str(tmp_path / "given"))
+    assert (tmp_path / "counted").read_bytes() == (tmp_path / "given").read_bytes()
+
+
+def test_numbers_of_terms_and_thresholds_are_made_once(spark, sf_dir, monkeypatch):
+    """Before, terms were numbered twice and lists' k-th weights found twice; sizes of documents numbered the terms, too."""
+    made = []
+    dense = files.dense_terms
+    monkeypatch.setattr(files, "dense_terms", lambda rows: made.append(rows) or dense(rows))
+    QUERIES["term_info_inconsistent"](spark, sf_dir)
+    assert len(made) == 1
+    QUERIES["collection_sizes_file"](spark, sf_dir)
+    assert len(made) == 2
+    own = text_index(spark, sf_dir)
+    assert own.kths is own.kths and own.kths.storageLevel.useMemory
