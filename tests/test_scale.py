@@ -159,3 +159,9 @@ def test_numbers_of_terms_and_thresholds_are_made_once(spark, sf_dir, monkeypatc
     assert len(made) == 2
     own = text_index(spark, sf_dir)
     assert own.kths is own.kths and own.kths.storageLevel.useMemory
+
+
+def test_pairs_are_dealt_in_more_parts_than_postings(spark):
+    """Some ten pairs are left for each posting; in as many parts as postings have, 3 GB of them were added up by twelve tasks, which spilled."""
+    index, asked = short_documents(spark, 6)
+    assert f", {ranked.PAIRS * index.parts})" in plan_of(ranked.short_pairs(index, asked, 10)).splitlines()[0]
